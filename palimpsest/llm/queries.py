@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import pairs
+from palimpsest.llm import pairs, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,19 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.form_report(pairs.texts(spark, folder))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.found(*splits.tables(spark, folder))
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_chunks(*splits.tables(spark, folder))
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    out = p2_splits(spark, folder)
+    return out.groupBy("split").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("group").alias("groups"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
