@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import pairs, splits
+from palimpsest.llm import ledger, pairs, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("group").alias("groups"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ledger.found(spark, folder)
+
+
+def p3_records(spark: SparkSession, folder: str) -> DataFrame:
+    return ledger.records(spark, folder)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
