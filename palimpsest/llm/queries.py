@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ledger, pairs, splits
+from palimpsest.llm import ledger, pairs, pieces, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,9 +41,25 @@ def p3_records(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.records(spark, folder)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.found(p4_pieces(spark, folder))
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_oversized(pieces.oversized(spark, folder))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_report(p4_pieces(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": """
+            SELECT DISTINCT 'clean_docs' AS tab, doc_id AS rec_id FROM clean_docs WHERE length(text) > 900
+            UNION ALL SELECT DISTINCT 'chunks', chunk_id FROM chunks WHERE length(text) > 900""",
+    }
