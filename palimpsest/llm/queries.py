@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ledger, pairs, pieces, splits
+from palimpsest.llm import ledger, overlap, pairs, pieces, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,14 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.piece_report(p4_pieces(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.found(overlap.overlaps(overlap.records(spark, folder)))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(overlap.overlaps(overlap.records(spark, folder)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
