@@ -5,12 +5,12 @@ Same: records are hashed after problem-1 form, case, punctuation and white space
 counted by split and source.
 
 Nearly the same (word edit distance at most a fifth of the longer text) can't be seen by a hash, so
-a second, exact stage follows on distinct word sequences. d edits break at most 2 d pairs of
-neighbouring words, so two near texts share at least M - 1 - 2 floor(M / 5) of them, M words being
-the longer one; in any common order of word pairs they then share one among the first few of each
-(a prefix filter). Rare pairs come first, by a fixed-size count of hashed word pairs, so what is
-common in the corpus joins only texts that consist of little else. Candidates are verified by a
-bit-parallel edit distance over the whole word sequences. Copies meet only at the end, when pairs
+a second, exact stage follows on distinct word sequences. d edits break at most q d runs of q
+words, so two near texts share a known number of runs; in any common order of runs several of them
+then lie among the first of each (a prefix filter with a count). Rare runs come first, by a
+fixed-size count of hashed runs, so what is common in the corpus joins only texts that consist of
+little else. Candidates are verified by a bit-parallel edit distance over the whole word sequences.
+Copies meet only at the end, when pairs
 of texts become pairs of records.
 
 Cases: records without id or text are left out; texts without letters are the same as each other
@@ -33,10 +33,14 @@ from palimpsest.llm.ledger import list_fields
 from palimpsest.operators.lineage import cut
 from palimpsest.operators.tables import table
 
-#: Counters of the word-pair frequencies that order the prefixes: 2 MB on every executor at any scale.
+#: Counters of the run frequencies that order the runs: 2 MB on every executor at any scale.
 SKETCH = 1 << 18
 #: Edits allowed: one in SHARE words of the longer text.
 SHARE = 5
+#: Runs of the rarest that near texts must share; more cost longer look-ups and save verifications.
+MUST = 4
+#: Texts are looked up by runs of three words, short ones by runs of two.
+LONG_FROM, SHORT_TO = 10, 13
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,31 +55,46 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("id", "tab", "split", F.coalesce("source", F.lit("")).alias("source"), (F.col("split") == "train").alias("train"), "text")
 
 
-def _prefix_table(longest: int) -> np.ndarray:
-    """Prefix length by number of words: word pairs, less the fewest that must be shared, plus one."""
+def prefix_table(longest: int, q: int) -> np.ndarray:
+    """By number of words n: how many of a text's rarest runs of q words are looked up, and how many
+    of them a near text must share.
+
+    Near texts of n and up to 5/4 n words share at least M - q + 1 - q floor(M / 5) runs; if of those
+    l are to lie among the rarest of both, all but that number less l have to be looked up.
+    """
     m = np.arange(2 * longest + 8)
-    shared = m - 1 - 2 * (m // SHARE)
-    out = np.zeros(longest + 1, np.int64)
-    for n in range(2, longest + 1):
-        out[n] = n - 1 - max(1, shared[n : n * SHARE // (SHARE - 1) + 2].min()) + 1
+    shared = m - q + 1 - q * (m // SHARE)
+    out = np.zeros((longest + 1, 2), np.int64)
+    for n in range(q, longest + 1):
+        fewest = max(1, shared[n : n * SHARE // (SHARE - 1) + 2].min())
+        must = min(MUST, fewest)
+        out[n] = n - q + 1 - fewest + must, must
     return out
 
 
-def _pairs_of(words: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words; the k-th repeat of a pair in a text is a pair of its own."""
+def runs_of(words: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of runs of q words; the k-th repeat of a run in a text is a run of its own."""
     w = words.view(np.uint64)
     with np.errstate(over="ignore"):
-        h = w[:-1] * np.uint64(0x9E3779B97F4A7C15) + (w[1:] ^ (w[1:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = np.full(len(w) - q + 1, q, np.uint64)
+        for k in range(q):
+            x = w[k : len(w) - q + 1 + k]
+            h = (h ^ x ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         order = np.argsort(h, kind="stable")
         s = h[order]
-        first = np.r_[True, s[1:] != s[:-1]]
-        at = np.flatnonzero(first)
+        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         repeat = np.arange(len(s)) - np.repeat(at, np.diff(np.r_[at, len(s)]))
         s = (s + repeat.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
         return s ^ (s >> np.uint64(32))
 
 
+def _lengths(n: int) -> tuple[int, ...]:
+    """The run lengths by which a text of n words is looked up: of two near texts, both have
+    LONG_FROM words or more, or both have SHORT_TO words or less."""
+    return (*([2] if SHARE <= n <= SHORT_TO else []), *([3] if n >= LONG_FROM else []))
+
+
 def _lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     column = batch.column("words")
     flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -88,8 +107,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, np.int64)
     for batch in batches:
         for words in _lists(batch):
-            if len(words) >= SHARE:
-                np.add.at(counts, (_pairs_of(words) % np.uint64(SKETCH)).astype(np.int64), 1)
+            for q in _lengths(len(words)):
+                np.add.at(counts, (runs_of(words, q) % np.uint64(SKETCH)).astype(np.int64), 1)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
 
@@ -97,24 +116,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, np.int64)
-        table_ = _prefix_table(64)
+        tables = {q: prefix_table(64, q) for q in (2, 3)}
         for batch in batches:
-            grams, rows, sizes = [], [], []
+            runs, rows, sizes, musts = [], [], [], []
             for i, words in enumerate(_lists(batch)):
                 n = len(words)
-                if n < SHARE:
-                    continue
-                if n >= len(table_):
-                    table_ = _prefix_table(2 * n)
-                h = _pairs_of(words)
-                order = np.lexsort((h, counts[(h % np.uint64(SKETCH)).astype(np.int64)]))
-                h = h[order[: table_[n]]]
-                grams.append(h.view(np.int64))
-                rows.append(np.full(len(h), i))
-                sizes.append(np.full(len(h), n, np.int32))
-            if grams:
+                for q in _lengths(n):
+                    if n >= len(tables[q]):
+                        tables[q] = prefix_table(2 * n, q)
+                    first, must = tables[q][n]
+                    h = runs_of(words, q)
+                    order = np.lexsort((h, counts[(h % np.uint64(SKETCH)).astype(np.int64)]))
+                    h = h[order[:first]]
+                    runs.append(h.view(np.int64))
+                    rows.append(np.full(len(h), i))
+                    sizes.append(np.full(len(h), n, np.int32))
+                    musts.append(np.full(len(h), must + 100 * q, np.int32))
+            if runs:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), batch.column("w").take(at), pa.array(np.concatenate(sizes))], ["gram", "w", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(runs)), batch.column("w").take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(musts))],
+                    ["run", "w", "n", "must"],
+                )
 
     return run
 
@@ -184,12 +207,14 @@ def near_texts(texts: DataFrame) -> DataFrame:
     w = "w struct<h1:bigint,h2:bigint>"
 
     def prefixes(side: DataFrame) -> DataFrame:
-        return side.select("w", "words").mapInArrow(_prefixes(shared), f"gram bigint, {w}, n int")
+        return side.select("w", "words").mapInArrow(_prefixes(shared), f"run bigint, {w}, n int, must int")
 
-    e = prefixes(texts.where("not train")).select("gram", F.col("w").alias("e"), F.col("n").alias("ne"))
-    t = prefixes(texts.where("train")).select("gram", F.col("w").alias("t"), F.col("n").alias("nt"))
+    e = prefixes(texts.where("not train")).select("run", F.col("w").alias("e"), F.col("n").alias("ne"), F.col("must").alias("me"))
+    t = prefixes(texts.where("train")).select("run", F.col("w").alias("t"), F.col("n").alias("nt"), F.col("must").alias("mt"))
     close = F.abs(F.col("ne") - F.col("nt")) <= F.floor(F.greatest("ne", "nt") / SHARE)
-    candidates = e.join(t, "gram").where(close & (F.col("e") != F.col("t"))).select("e", "t").distinct()
+    met = e.join(t, "run").where(close & (F.col("e") != F.col("t")))
+    # `must` holds 100 q + l, so texts met by runs of both lengths are counted for each by itself
+    candidates = met.groupBy("e", "t", F.least("me", "mt").alias("must")).count().where("count >= must % 100").select("e", "t").distinct()
     left = texts.where("not train").select(F.col("w").alias("e"), F.col("words").alias("we"))
     right = texts.where("train").select(F.col("w").alias("t"), F.col("words").alias("wt"))
     both = candidates.join(left, "e").join(right, "t")
