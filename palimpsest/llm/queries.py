@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ledger, overlap, pairs, pieces, splits
+from palimpsest.llm import leaks, ledger, overlap, packing, pairs, pieces, splits
+from palimpsest.operators.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,38 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(overlap.overlaps(overlap.records(spark, folder)))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.found(p6_contexts(spark, folder))
+
+
+def p6_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.contexts(table(spark, folder, "documents"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_report(p6_contexts(spark, folder))
+
+
+def _documents_and_items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "documents"), table(spark, folder, "eval_items")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.found(*_documents_and_items(spark, folder))
+
+
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.spans(*_documents_and_items(spark, folder))
+
+
+def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.cleaned(*_documents_and_items(spark, folder))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leak_report(*_documents_and_items(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
