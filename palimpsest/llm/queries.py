@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leaks, ledger, overlap, packing, pairs, pieces, splits
+from palimpsest.llm import abuse, leaks, ledger, overlap, packing, pairs, pieces, splits
 from palimpsest.operators.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,18 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(*_documents_and_items(spark, folder))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.found(abuse.scores_of(spark, folder))
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scores_of(spark, folder)
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(abuse.scores_of(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
