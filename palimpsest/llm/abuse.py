@@ -3,11 +3,12 @@
 A document is read passage by passage (sentences and lines). Words are taken in problem-1 form and
 lower case with disguises undone: letters spelled apart, digits and signs for letters, stretched
 letters, and stars matched against the lexicon. The lexicon holds runs of one to three words with
-their log-odds between labelled documents; public swear words are in it from the start. Features are
+their log-odds between labelled documents; public swear words are in it from the start, and
+the whole corpus has its say on what mostly stands in harmless passages. Features are
 dense: the largest lexicon weight and density of a passage, how near a second person is to it,
 capitals, exclamation marks, disguises. Gradient-boosted trees over them are fitted on the labelled
-documents, on features whose lexicon never saw the document, and their scores are calibrated by
-isotonic regression on documents the trees never saw.
+documents, on features whose lexicon never saw the document's label, and their scores are calibrated by
+isotonic regression on scores of trees that never saw the document.
 
 Only the lexicon and the trees come from a sample: at most MOST_LABELLED labelled documents, those
 of smallest hash. Every document is scored, on its whole text.
@@ -41,6 +42,11 @@ MOST_LABELLED, MOST_ENTRIES = 20_000, 20_000
 #: Labelled documents in which an entry must occur; folds; the score from which a document is reported.
 LEAST_DOCS, FOLDS, THRESHOLD = 3, 4, 0.5
 
+#: Summed weight from which what else is in a passage makes it abusive company.
+COMPANY = 4.0
+#: Words from which a passage tells something about the company of its entries.
+TELLING = 6
+
 #: Insults and sexual words known beforehand (English, Italian, Spanish).
 SEED = (
     "asshole bastard bitch cunt dickhead dumbass fuck fucking fucked motherfucker moron prick scumbag shithead slut "
@@ -77,7 +83,7 @@ class Passage:
             raw = m.group()
             if len(raw) > 24:
                 continue  # encoded blobs
-            w = raw.lower()
+            w = raw.lower() if raw.isascii() else transducer().fold(raw)
             if not w.isalpha():
                 if w.isdigit():
                     w = "#"
@@ -126,6 +132,13 @@ class Lexicon:
                 return known
         return w
 
+    def weight(self, p: Passage) -> float:
+        """The sum of a passage's entries' weights."""
+        w = [self.unstar(x) if "*" in x else x for x in p.words]
+        get = self.weights.get
+        two = sum(get(f"{a} {b}", 0.0) for a, b in zip(w, w[1:]))
+        return sum(get(x, 0.0) for x in w) + two + sum(get(f"{a} {b} {c}", 0.0) for a, b, c in zip(w, w[1:], w[2:]))
+
     def features(self, text: str | None) -> list[float]:
         """What FEATURES names, for one document."""
         best: list[tuple[float, list[float]]] = []
@@ -173,47 +186,132 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     return texts.select("doc_id", "x.text", "x.y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def _entry_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        count: Counter = Counter()
-        for text, y, fold in zip(b["text"], b["y"], b["fold"]):
-            for e in set().union(*(entries_of(p) for p in passages(text))):
-                count[e, y, fold] += 1
-        keys = list(count)
-        yield pd.DataFrame({"entry": [k[0] for k in keys], "y": [k[1] for k in keys], "fold": [k[2] for k in keys], "n": [count[k] for k in keys]})
+def _entry_rows(tagged):
+    """(entry, without, y, fold, n): in how many documents or passages of a class entries occur.
 
+    Without lexicons a document's class is its passages' class. With them (one for each fold left
+    out), of a positive document only the passages that carry its weight are positive.
+    """
 
-def lexicons(sample: DataFrame) -> tuple[list[Lexicon], Lexicon]:
-    """For each fold the lexicon of the other folds, and the lexicon of all."""
-    docs = {(r["y"], r["fold"]): r["n"] for r in sample.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = sample.select("text", "y", "fold").mapInPandas(_entry_rows, "entry string, y int, fold int, n bigint")
-    by_entry = (
-        counts.groupBy("entry").agg(
-            *[F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}_{k}") for y in (0, 1) for k in range(FOLDS)],
-            F.sum("n").alias("n"),
-        )
-        .where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(10 * MOST_ENTRIES).toPandas()  # bounded by the sample
-    )
-    by_entry = by_entry.set_index("entry")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicons_ = [Lexicon(w) for w in tagged.value] if tagged else []
+        for b in batches:
+            count: Counter = Counter()
+            for text, y, fold in zip(b["text"], b["y"], b["fold"]):
+                parts = passages(text)
+                if not tagged:
+                    for e in set().union(*(entries_of(p) for p in parts)):
+                        count[e, -1, y, fold] += 1
+                    continue
+                entries = [entries_of(p) for p in parts]
+                for k, lexicon in enumerate(lexicons_):
+                    if k == fold:
+                        continue
+                    sums = [lexicon.weight(p) for p in parts] if y else []
+                    least = max(3.0, max(sums, default=0.0) / 2)
+                    for i, found_ in enumerate(entries):
+                        c = int(y and sums[i] >= least)
+                        for e in found_:
+                            count[e, k, c, fold] += 1
+            keys = list(count)
+            yield pd.DataFrame({"entry": [k[0] for k in keys], "without": [k[1] for k in keys], "y": [k[2] for k in keys], "fold": [k[3] for k in keys], "n": [count[k] for k in keys]})
 
-    def lexicon(without: int | None) -> Lexicon:
-        folds = [k for k in range(FOLDS) if k != without]
-        p, q = (max(1, sum(docs.get((y, k), 0) for k in folds)) for y in (1, 0))
-        a = by_entry[[f"n1_{k}" for k in folds]].sum(axis=1)
-        b = by_entry[[f"n0_{k}" for k in folds]].sum(axis=1)
-        seen = (a + b) >= LEAST_DOCS
-        odds = {}
-        for e, x, y in zip(by_entry.index[seen], a[seen], b[seen]):
+    return run
+
+
+def _odds(a, b, p: float, q: float) -> dict[str, float]:
+    """Entries' log-odds from their counts in positives and negatives, p and q of these in all."""
+    odds = {}
+    for e, x, y in zip(a.index, a, b):
+        if x + y >= LEAST_DOCS:
             w = math.log((x + 0.5 * p / (p + q)) / (p + 0.5)) - math.log((y + 0.5 * q / (p + q)) / (q + 0.5))
             if abs(w) > 1:
                 odds[e] = max(-6.0, min(6.0, w))
-        kept = dict(sorted(odds.items(), key=lambda x: (-abs(x[1]), x[0]))[:MOST_ENTRIES])
-        for w in SEED:
-            if w not in odds and w not in by_entry.index[seen]:
-                kept[w] = 3.0
-        return Lexicon(kept)
+    kept = dict(sorted(odds.items(), key=lambda x: (-abs(x[1]), x[0]))[:MOST_ENTRIES])
+    seen = set(a.index)
+    return kept | {w: 3.0 for w in SEED if w not in seen}
+
+
+def _counts(sample: DataFrame, tagged, groups: int) -> pd.DataFrame:
+    kind = "entry string, without int, y int, fold int, n bigint"
+    rows = sample.select("text", "y", "fold").mapInPandas(_entry_rows(tagged), kind)
+    summed = rows.groupBy("without", "entry").agg(
+        *[F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}_{k}") for y in (0, 1) for k in range(FOLDS)],
+        F.sum("n").alias("n"),
+    )
+    # bounded by the sample; entries beyond the bound are the rarest
+    return summed.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(5 * MOST_ENTRIES * groups).toPandas()
+
+
+def lexicons(sample: DataFrame) -> tuple[list[dict], dict]:
+    """For each fold the weights from the other folds, and the weights from all.
 
-    return [lexicon(k) for k in range(FOLDS)], lexicon(None)
+    First from documents; then once more from passages, positive being those that carry a positive
+    document's weight, so that what merely stands beside abuse loses its weight.
+    """
+    docs = {(r["y"], r["fold"]): r["n"] for r in sample.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = _counts(sample, None, 1).set_index("entry")
+
+    def by_document(without: int | None) -> dict[str, float]:
+        folds = [k for k in range(FOLDS) if k != without]
+        p, q = (max(1, sum(docs.get((y, k), 0) for k in folds)) for y in (1, 0))
+        return _odds(first[[f"n1_{k}" for k in folds]].sum(axis=1), first[[f"n0_{k}" for k in folds]].sum(axis=1), p, q)
+
+    start = [by_document(k) for k in range(FOLDS)] + [by_document(None)]
+    second = _counts(sample, sample.sparkSession.sparkContext.broadcast(start), FOLDS + 1)
+    out = []
+    for k in range(FOLDS + 1):
+        own = second[second["without"] == k].set_index("entry")
+        a, b = (own[[f"n{y}_{j}" for j in range(FOLDS)]].sum(axis=1) for y in (1, 0))
+        # a passage has some dozens of entries; their sums stand for the numbers of passages
+        p, q = float(a.sum()), float(b.sum())
+        scale = max(1.0, (p + q) / 40)
+        out.append(_odds(a, b, max(1.0, p / (p + q) * scale), max(1.0, q / (p + q) * scale)) if p and q else start[k])
+    return out[:FOLDS], out[FOLDS]
+
+
+def _company_rows(shared):
+    """(entry, kind, n): in how many passages an entry stands in abusive company, or not."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(shared.value)
+        weights = lexicon.weights
+        count: Counter = Counter()
+        for b in batches:
+            for text in b["text"]:
+                for p in passages(text):
+                    if p.disguised:
+                        p.words = [lexicon.unstar(x) if "*" in x else x for x in p.words]
+                    own = {e: weights[e] for e in entries_of(p) if e in weights}
+                    whole = sum(own.values())
+                    count["", int(whole >= COMPANY)] += 1
+                    for e, w in own.items():
+                        if w > 0 and len(p.words) >= TELLING:
+                            # without the entry and the longer entries that hold it
+                            rest = whole - sum(x for f, x in own.items() if x > 0 and f" {e} " in f" {f} ")
+                            count[e, int(rest >= COMPANY)] += 1
+        yield pd.DataFrame({"entry": [k[0] for k in count], "kind": [k[1] for k in count], "n": list(count.values())})
+
+    return run
+
+
+def sobered(documents: DataFrame, weights: dict[str, float]) -> dict[str, float]:
+    """Weights that the whole corpus bears out: an entry that mostly stands in harmless passages, by
+    the rest of what is in them, gets the weight of that share. Entries never fall below 0."""
+    shared = documents.sparkSession.sparkContext.broadcast(weights)
+    kind = "entry string, kind int, n bigint"
+    rows = documents.select("text").mapInPandas(_company_rows(shared), kind).groupBy("entry", "kind").agg(F.sum("n").alias("n")).collect()  # two rows an entry at most
+    n = {(r["entry"], r["kind"]): r["n"] for r in rows}
+    p, q = n.get(("", 1), 0) + 1, n.get(("", 0), 0) + 1
+    out = {}
+    for e, w in weights.items():
+        if w > 0:
+            a, b = n.get((e, 1), 0), n.get((e, 0), 0)
+            share = math.log((a + 1) / (p + 1)) - math.log((b + 1) / (q + 1)) - math.log(q / p) / 2
+            w = max(0.0, min(w, share)) if a + b >= 2 * LEAST_DOCS else w
+        if w:
+            out[e] = w
+    return out
 
 
 def _featurise(lexicon_of, extra: list[str]):
@@ -240,8 +338,11 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     if classes != {0, 1}:
         return rows.groupBy("doc_id").agg(F.min("source").alias("source")).withColumn("score", F.lit(None).cast("double"))
     per_fold, whole = lexicons(sample)
-    shared_folds = spark.sparkContext.broadcast([x.weights for x in per_fold])
-    shared = spark.sparkContext.broadcast(whole.weights)
+    sober = sobered(documents.where("doc_id is not null"), whole)
+    per_fold = [{e: min(w, sober.get(e, 0.0)) if e in whole and w > 0 else w for e, w in x.items()} for x in per_fold]
+    whole = sober
+    shared_folds = spark.sparkContext.broadcast(per_fold)
+    shared = spark.sparkContext.broadcast(whole)
     cache: dict[int, Lexicon] = {}
 
     def of_fold(fold: int) -> Lexicon:
@@ -257,10 +358,18 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = sample.mapInPandas(_featurise(of_fold, ["doc_id", "y", "fold"]), f"{_KIND}, doc_id bigint, y int, fold int")
     train = cut(vector.transform(train.repartition(1).sortWithinPartitions("doc_id")).select("features", F.col("y").cast("double").alias("y"), "fold"))
-    held = F.col("fold") == FOLDS - 1
-    trees = GBTClassifier(labelCol="y", maxIter=20, maxDepth=3, stepSize=0.2, seed=7).fit(train.where(~held))
     raw = vector_to_array("rawPrediction")[1].alias("raw")
-    calibration = trees.transform(train.where(held)).select(raw, "y")
+
+    def fit(rows_: DataFrame):
+        return GBTClassifier(labelCol="y", maxIter=20, maxDepth=3, stepSize=0.2, seed=7).fit(rows_)
+
+    halves = [train.where(F.col("fold") % 2 == k) for k in (0, 1)]
+    if all(h.select("y").distinct().count() == 2 for h in halves):
+        calibration = fit(halves[0]).transform(halves[1]).select(raw, "y").unionByName(fit(halves[1]).transform(halves[0]).select(raw, "y"))
+        trees = fit(train)
+    else:  # too few labelled documents to hold any back
+        trees = fit(train)
+        calibration = trees.transform(train).select(raw, "y")
     isotonic = IsotonicRegression(labelCol="y", featuresCol="raw").fit(calibration)
     texts = rows.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("x")).select("doc_id", "x.source", "x.text")
     features = texts.mapInPandas(_featurise(of_all, ["doc_id", "source"]), f"{_KIND}, doc_id bigint, source string")

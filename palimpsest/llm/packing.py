@@ -25,7 +25,7 @@ from palimpsest.operators.lineage import cut
 
 CAPACITY = 2048
 #: Where the public tokenizers' files are, and the vocabulary that sizes are counted in.
-TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.json"
+TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Items that one task packs, and the share of a bin's room that must be used to be done with it.
 GROUP, NEARLY_FULL = 20_000, 0.995
 
