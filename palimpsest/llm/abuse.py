@@ -30,18 +30,20 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canon import transducer
 from palimpsest.operators.lineage import cut
 from palimpsest.operators.tables import table
 
-#: Bounds of what is learned from: labelled documents and lexicon entries (about 1 MB).
-MOST_LABELLED, MOST_ENTRIES = 20_000, 20_000
+#: Bounds of what is learned from: labelled documents and lexicon entries (half a MB).
+MOST_LABELLED, MOST_ENTRIES = 20_000, 10_000
 #: Labelled documents in which an entry must occur; folds; the score from which a document is reported.
 LEAST_DOCS, FOLDS, THRESHOLD = 3, 4, 0.5
 
+#: Times that the lexicon is learned from passages.
+ROUNDS = 1
 #: Summed weight from which what else is in a passage makes it abusive company.
 COMPANY = 4.0
 #: Words from which a passage tells something about the company of its entries.
@@ -187,10 +189,11 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
 
 
 def _entry_rows(tagged):
-    """(entry, without, y, fold, n): in how many documents or passages of a class entries occur.
+    """(entry, without, y, n): in how many documents or passages of a class entries occur, for each
+    fold left out (FOLDS: none).
 
-    Without lexicons a document's class is its passages' class. With them (one for each fold left
-    out), of a positive document only the passages that carry its weight are positive.
+    Without lexicons a document's class is its passages' class. With them, of a positive document
+    only the passages that carry its weight are positive.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,75 +202,60 @@ def _entry_rows(tagged):
             count: Counter = Counter()
             for text, y, fold in zip(b["text"], b["y"], b["fold"]):
                 parts = passages(text)
-                if not tagged:
-                    for e in set().union(*(entries_of(p) for p in parts)):
-                        count[e, -1, y, fold] += 1
-                    continue
                 entries = [entries_of(p) for p in parts]
-                for k, lexicon in enumerate(lexicons_):
+                for k in range(FOLDS + 1):
                     if k == fold:
                         continue
-                    sums = [lexicon.weight(p) for p in parts] if y else []
+                    if not tagged:
+                        count.update((e, k, y) for e in set().union(*entries))
+                        continue
+                    sums = [lexicons_[k].weight(p) for p in parts] if y else []
                     least = max(3.0, max(sums, default=0.0) / 2)
                     for i, found_ in enumerate(entries):
                         c = int(y and sums[i] >= least)
-                        for e in found_:
-                            count[e, k, c, fold] += 1
+                        count.update((e, k, c) for e in found_)
             keys = list(count)
-            yield pd.DataFrame({"entry": [k[0] for k in keys], "without": [k[1] for k in keys], "y": [k[2] for k in keys], "fold": [k[3] for k in keys], "n": [count[k] for k in keys]})
+            yield pd.DataFrame({"entry": [k[0] for k in keys], "without": [k[1] for k in keys], "y": [k[2] for k in keys], "n": [count[k] for k in keys]})
 
     return run
 
 
-def _odds(a, b, p: float, q: float) -> dict[str, float]:
-    """Entries' log-odds from their counts in positives and negatives, p and q of these in all."""
-    odds = {}
-    for e, x, y in zip(a.index, a, b):
-        if x + y >= LEAST_DOCS:
-            w = math.log((x + 0.5 * p / (p + q)) / (p + 0.5)) - math.log((y + 0.5 * q / (p + q)) / (q + 0.5))
-            if abs(w) > 1:
-                odds[e] = max(-6.0, min(6.0, w))
-    kept = dict(sorted(odds.items(), key=lambda x: (-abs(x[1]), x[0]))[:MOST_ENTRIES])
-    seen = set(a.index)
-    return kept | {w: 3.0 for w in SEED if w not in seen}
-
-
-def _counts(sample: DataFrame, tagged, groups: int) -> pd.DataFrame:
-    kind = "entry string, without int, y int, fold int, n bigint"
-    rows = sample.select("text", "y", "fold").mapInPandas(_entry_rows(tagged), kind)
-    summed = rows.groupBy("without", "entry").agg(
-        *[F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}_{k}") for y in (0, 1) for k in range(FOLDS)],
-        F.sum("n").alias("n"),
-    )
-    # bounded by the sample; entries beyond the bound are the rarest
-    return summed.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(5 * MOST_ENTRIES * groups).toPandas()
+def _weights(sample: DataFrame, tagged) -> list[dict[str, float]]:
+    """Entries' log-odds for each fold left out and for none; only what is kept reaches the driver."""
+    rows = sample.select("text", "y", "fold").mapInPandas(_entry_rows(tagged), "entry string, without int, y int, n bigint")
+    y = F.col("y") == 1
+    counts = cut(rows.groupBy("without", "entry").agg(F.sum(F.when(y, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~y, F.col("n")).otherwise(0)).alias("b")))
+    if tagged:  # a passage has some dozens of entries; their sums stand for the numbers of passages
+        totals = counts.groupBy("without").agg((F.sum("a") / 40).alias("p"), (F.sum("b") / 40).alias("q"))
+    else:
+        folds = sample.groupBy("fold").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).collect()
+        totals = sample.sparkSession.createDataFrame(
+            [(k, float(sum(r["p"] for r in folds if r["fold"] != k)), float(sum(r["q"] for r in folds if r["fold"] != k))) for k in range(FOLDS + 1)], "without int, p double, q double"
+        )
+    a, b, p, q = (F.col(c).cast("double") for c in ("a", "b", "p", "q"))
+    p, q = F.greatest(p, F.lit(1.0)), F.greatest(q, F.lit(1.0))
+    odds = F.log((a + 0.5 * p / (p + q)) / (p + 0.5)) - F.log((b + 0.5 * q / (p + q)) / (q + 0.5))
+    told = counts.where(F.col("a") + F.col("b") >= LEAST_DOCS).join(F.broadcast(totals), "without").select("without", "entry", F.greatest(F.lit(-6.0), F.least(F.lit(6.0), odds)).alias("w"))
+    ranked = told.where(F.abs("w") > 1).withColumn("r", F.row_number().over(Window.partitionBy("without").orderBy(F.desc(F.abs("w")), "entry")))
+    out: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    for without, entry, w in ranked.where(F.col("r") <= MOST_ENTRIES).select("without", "entry", "w").toPandas().itertuples(index=False):
+        out[without][entry] = w
+    seen = {(r["without"], r["entry"]) for r in told.where(F.col("entry").isin(SEED)).select("without", "entry").collect()}
+    for k, weights in enumerate(out):
+        weights.update({w: 3.0 for w in SEED if (k, w) not in seen})
+    return out
 
 
 def lexicons(sample: DataFrame) -> tuple[list[dict], dict]:
     """For each fold the weights from the other folds, and the weights from all.
 
-    First from documents; then once more from passages, positive being those that carry a positive
-    document's weight, so that what merely stands beside abuse loses its weight.
+    First from documents; then from passages, positive being those that carry a positive document's
+    weight, so that what merely stands beside abuse loses its weight.
     """
-    docs = {(r["y"], r["fold"]): r["n"] for r in sample.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first = _counts(sample, None, 1).set_index("entry")
-
-    def by_document(without: int | None) -> dict[str, float]:
-        folds = [k for k in range(FOLDS) if k != without]
-        p, q = (max(1, sum(docs.get((y, k), 0) for k in folds)) for y in (1, 0))
-        return _odds(first[[f"n1_{k}" for k in folds]].sum(axis=1), first[[f"n0_{k}" for k in folds]].sum(axis=1), p, q)
-
-    start = [by_document(k) for k in range(FOLDS)] + [by_document(None)]
-    second = _counts(sample, sample.sparkSession.sparkContext.broadcast(start), FOLDS + 1)
-    out = []
-    for k in range(FOLDS + 1):
-        own = second[second["without"] == k].set_index("entry")
-        a, b = (own[[f"n{y}_{j}" for j in range(FOLDS)]].sum(axis=1) for y in (1, 0))
-        # a passage has some dozens of entries; their sums stand for the numbers of passages
-        p, q = float(a.sum()), float(b.sum())
-        scale = max(1.0, (p + q) / 40)
-        out.append(_odds(a, b, max(1.0, p / (p + q) * scale), max(1.0, q / (p + q) * scale)) if p and q else start[k])
-    return out[:FOLDS], out[FOLDS]
+    start = _weights(sample, None)
+    for _ in range(ROUNDS):
+        start = _weights(sample, sample.sparkSession.sparkContext.broadcast(start))
+    return start[:FOLDS], start[FOLDS]
 
 
 def _company_rows(shared):
