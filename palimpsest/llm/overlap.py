@@ -14,7 +14,8 @@ Copies meet only at the end, when pairs
 of texts become pairs of records.
 
 Cases: records without id or text are left out; texts without letters are the same as each other
-and near to none; texts of fewer than five words allow no edit, so only equality counts there; repeated rows of an id count
+and near to none; texts of fewer than four words are near to none, since an edit needs five words on
+one side; repeated rows of an id count
 once. Labels and categories may be NULL (source '').
 """
 
@@ -92,7 +93,7 @@ def runs_of(words: np.ndarray, q: int) -> np.ndarray:
 def _lengths(n: int) -> tuple[int, ...]:
     """The run lengths by which a text of n words is looked up: of two near texts, both have
     LONG_FROM words or more, or both have SHORT_TO words or less."""
-    return (*([2] if SHARE <= n <= SHORT_TO else []), *([3] if n >= LONG_FROM else []))
+    return (*([2] if SHARE - 1 <= n <= SHORT_TO else []), *([3] if n >= LONG_FROM else []))
 
 
 def _lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -240,7 +241,7 @@ def overlaps(rows: DataFrame) -> DataFrame:
     members = cut(members.join(lists, "key", "left").withColumn("cls", F.coalesce("list", "key")).drop("key", "alt", "list"))
     e, t = members.where("not train").select(F.col("id").alias("e_id"), "tab", "split", "source", "cls", F.col("w").alias("e")), members.where("train").select(F.col("id").alias("t_id"), "cls", F.col("w").alias("t"))
     same = e.join(t, "cls").select("e_id", "t_id", F.lit(True).alias("same"), "tab", "split", "source")
-    texts = cut(keyed.where(F.size("words") >= SHARE).groupBy("train", "w").agg(F.any_value("words").alias("words")))
+    texts = cut(keyed.where(F.size("words") >= SHARE - 1).groupBy("train", "w").agg(F.any_value("words").alias("words")))
     near = near_texts(texts)
     e2, t2 = e.withColumnRenamed("cls", "ce"), t.withColumnRenamed("cls", "ct")
     almost = near.join(e2, "e").join(t2, "t").where("ce != ct").select("e_id", "t_id", F.lit(False).alias("same"), "tab", "split", "source")

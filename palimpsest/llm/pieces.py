@@ -113,7 +113,14 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         offer(i)
         if before[i] >= 0:
             offer(before[i])
-    return [(_start_with_overlap(text, start[i], overlap) if start[i] else 0, start[i], end[i]) for i in range(len(atoms)) if alive[i]]
+    out: list[tuple[int, int, int]] = []
+    for i in (i for i in range(len(atoms)) if alive[i]):
+        at = _start_with_overlap(text, start[i], overlap) if start[i] else 0
+        if out and out[-1][0] >= at:  # the piece before would lie in this one
+            out[-1] = (at, out[-1][1], end[i])
+        else:
+            out.append((at, start[i], end[i]))
+    return out
 
 
 def _points_udf(limit: int, overlap: int):
