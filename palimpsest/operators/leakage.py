@@ -55,17 +55,17 @@ def nested_leaks(held: DataFrame, key: str, train: DataFrame, train_key: str, le
     those pairs are compared.
     """
     spark = held.sparkSession
-    needles = held.select(F.col(key), reduce(F.col("text")).alias("needle")).where(F.length("needle") >= least)
+    needles = held.select(F.col(key), reduce(F.col("text")).alias("_needle")).where(F.length("_needle") >= least)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [int(_rolling(t.encode()[:least], least).view(np.int64)[0]) for t in b.column("needle").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h, pa.int64())], [key, "needle", "h"])
+            h = [int(_rolling(t.encode()[:least], least).view(np.int64)[0]) for t in b.column("_needle").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h, pa.int64())], [key, "_needle", "_h"])
 
     kinds = dict(held.dtypes)[key], dict(train.dtypes)[train_key]
-    needles = needles.mapInArrow(heads, f"{key} {kinds[0]}, needle string, h bigint")
+    needles = needles.mapInArrow(heads, f"{key} {kinds[0]}, _needle string, _h bigint")
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in needles.select(F.pmod("h", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toLocalIterator():
+    for r in needles.select(F.pmod("_h", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toLocalIterator():
         bits[r["b"] >> 3] |= 1 << (r["b"] & 7)
     shared = spark.sparkContext.broadcast(bits.tobytes())
 
@@ -73,18 +73,18 @@ def nested_leaks(held: DataFrame, key: str, train: DataFrame, train_key: str, le
         known = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             rows, hashes = [], []
-            for i, t in enumerate(b.column("hay").to_pylist()):
+            for i, t in enumerate(b.column("_hay").to_pylist()):
                 h = np.unique(_rolling(t.encode(), least))
                 at = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
                 h = h[(known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
                 rows += [i] * len(h)
                 hashes += h.view(np.int64).tolist()
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(hashes, pa.int64())], [train_key, "hay", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(hashes, pa.int64())], [train_key, "_hay", "_h"])
 
-    hay = train.where("text is not null").select(F.col(train_key), reduce(F.col("text")).alias("hay")).where(F.length("hay") >= least)
-    hits = hay.mapInArrow(windows, f"{train_key} {kinds[1]}, hay string, h bigint")
-    return hits.join(needles, "h").where(F.col("hay").contains(F.col("needle"))).select(key, train_key).distinct()
+    hay = train.where("text is not null").select(F.col(train_key), reduce(F.col("text")).alias("_hay")).where(F.length("_hay") >= least)
+    hits = hay.mapInArrow(windows, f"{train_key} {kinds[1]}, _hay string, _h bigint")
+    return hits.join(needles, "_h").where(F.col("_hay").contains(F.col("_needle"))).select(key, train_key).distinct()
 
 
 def assert_disjoint(held: DataFrame, key: str, train: DataFrame, train_key: str) -> None:

@@ -21,7 +21,8 @@ def wilson(successes: Column, n: Column, alpha: float = 0.05) -> tuple[Column, C
     s, n = successes.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
     p, d = s / n, 1 + z * z / n
     mid, half = (p + z * z / (2 * n)) / d, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    # greatest() and least() skip NULLs
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), mid - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), mid + half))
 
 
 def _steps(df: DataFrame, keys: list[str]) -> DataFrame:
