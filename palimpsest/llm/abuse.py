@@ -359,10 +359,10 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
         trees = fit(train)
         calibration = trees.transform(train).select(raw, "y")
     isotonic = IsotonicRegression(labelCol="y", featuresCol="raw").fit(calibration)
-    texts = rows.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("x")).select("doc_id", "x.source", "x.text")
-    features = texts.mapInPandas(_featurise(of_all, ["doc_id", "source"]), f"{_KIND}, doc_id bigint, source string")
+    # repeated documents meet after scoring, so no text is moved
+    features = rows.mapInPandas(_featurise(of_all, ["doc_id", "source"]), f"{_KIND}, doc_id bigint, source string")
     predicted = isotonic.transform(trees.transform(vector.transform(features)).select("doc_id", "source", raw))
-    return predicted.select("doc_id", "source", F.col("prediction").alias("score"))
+    return predicted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("prediction").alias("score"))
 
 
 def found(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
