@@ -407,22 +407,7 @@ def natural_rank(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
     t = q.join(e.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("pe")), "query_id").select("query_id", "qe", retrieval.dot(F.col("qe"), F.col("pe")).alias("own"))
-    import numpy as np
-    import pandas as pd
-
-    # the stated query set against all rows, in one block of bounded size at a time
-    block = t.toPandas()
-    shared = spark.sparkContext.broadcast((block["query_id"].to_numpy(), np.stack(block["qe"].to_numpy()).astype(float), block["own"].to_numpy()))
-
-    def count(batches):
-        ids, m, own = shared.value
-        for b in batches:
-            if len(b):
-                s = m @ np.stack(b["embedding"].to_numpy()).astype(float).T
-                near = (np.round(s, 9) >= np.round(own, 9)[:, None]) & (ids[:, None] != b["vec_id"].to_numpy()[None, :])
-                yield pd.DataFrame({"query_id": ids, "n": near.sum(axis=1)})
-
-    return e.mapInPandas(count, "query_id bigint, n bigint").groupBy("query_id").agg(F.sum("n").alias("rank")).where("rank > 0")
+    return retrieval.count_nearer(t, e)
 
 
 @query("SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -58,6 +58,32 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = fixed.TOP_K) -> DataFr
     return found.where("query_id != vec_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _count_near(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix, own = shared.value
+        for b in batches:
+            if len(b):
+                scores = matrix @ np.stack(b["embedding"].to_numpy()).astype(np.float64).T
+                near = (np.round(scores, 9) >= np.round(own, 9)[:, None]) & (ids[:, None] != b["vec_id"].to_numpy()[None, :])
+                yield pd.DataFrame({"query_id": ids, "n": near.sum(axis=1)})
+
+    return run
+
+
+def count_nearer(targets: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, rank): corpus rows at least as near to a query as its target, of targets (query_id, qe,
+    own: the target's score); the query's own row is left out. Blocks as in top_k."""
+    spark = targets.sparkSession
+    found = spark.createDataFrame([], "query_id bigint, n bigint")
+    blocks = -(-targets.count() // QUERY_BLOCK)
+    for i in range(blocks):
+        part = targets.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
+        if len(part):
+            shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), np.stack(part["qe"].to_numpy()).astype(np.float64), part["own"].to_numpy()))
+            found = found.unionByName(corpus.select("vec_id", "embedding").mapInPandas(_count_near(shared), "query_id bigint, n bigint"))
+    return found.groupBy("query_id").agg(F.sum("n").alias("rank")).where("rank > 0")
+
+
 def pin(top: DataFrame, pinned: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
     """top (query_id, vec_id, rank) with each query's pinned id (query_id, pin_id): if it isn't there, it
     takes the last rank."""
