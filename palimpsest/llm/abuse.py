@@ -30,15 +30,15 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canon import transducer
 from palimpsest.operators.lineage import cut
 from palimpsest.operators.tables import table
 
-#: Bounds of what is learned from: labelled documents and lexicon entries (half a MB).
-MOST_LABELLED, MOST_ENTRIES = 20_000, 10_000
+#: Labelled documents that are learned from at most; they also bound the lexicon.
+MOST_LABELLED = 20_000
 #: Labelled documents in which an entry must occur; folds; the score from which a document is reported.
 LEAST_DOCS, FOLDS, THRESHOLD = 3, 4, 0.5
 
@@ -236,10 +236,14 @@ def _weights(sample: DataFrame, tagged) -> list[dict[str, float]]:
     p, q = F.greatest(p, F.lit(1.0)), F.greatest(q, F.lit(1.0))
     odds = F.log((a + 0.5 * p / (p + q)) / (p + 0.5)) - F.log((b + 0.5 * q / (p + q)) / (q + 0.5))
     told = counts.where(F.col("a") + F.col("b") >= LEAST_DOCS).join(F.broadcast(totals), "without").select("without", "entry", F.greatest(F.lit(-6.0), F.least(F.lit(6.0), odds)).alias("w"))
-    ranked = told.where(F.abs("w") > 1).withColumn("r", F.row_number().over(Window.partitionBy("without").orderBy(F.desc(F.abs("w")), "entry")))
-    out: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
-    for without, entry, w in ranked.where(F.col("r") <= MOST_ENTRIES).select("without", "entry", "w").toPandas().itertuples(index=False):
-        out[without][entry] = w
+    # one row an entry, so that the lexicons share its string
+    each = [F.max(F.when(F.col("without") == k, F.col("w"))).alias(f"w{k}") for k in range(FOLDS + 1)]
+    kept = told.where(F.abs("w") > 1).groupBy("entry").agg(*each).toArrow()
+    names = kept["entry"].to_pylist()
+    out: list[dict[str, float]] = []
+    for k in range(FOLDS + 1):
+        own = ((e, w) for e, w in zip(names, kept[f"w{k}"].to_pylist()) if w is not None)
+        out.append(dict(sorted(own, key=lambda x: (-abs(x[1]), x[0]))))
     seen = {(r["without"], r["entry"]) for r in told.where(F.col("entry").isin(SEED)).select("without", "entry").collect()}
     for k, weights in enumerate(out):
         weights.update({w: 3.0 for w in SEED if (k, w) not in seen})
@@ -288,8 +292,8 @@ def sobered(documents: DataFrame, weights: dict[str, float]) -> dict[str, float]
     the rest of what is in them, gets the weight of that share. Entries never fall below 0."""
     shared = documents.sparkSession.sparkContext.broadcast(weights)
     kind = "entry string, kind int, n bigint"
-    rows = documents.select("text").mapInPandas(_company_rows(shared), kind).groupBy("entry", "kind").agg(F.sum("n").alias("n")).collect()  # two rows an entry at most
-    n = {(r["entry"], r["kind"]): r["n"] for r in rows}
+    rows = documents.select("text").mapInPandas(_company_rows(shared), kind).groupBy("entry", "kind").agg(F.sum("n").alias("n")).toArrow()  # two rows an entry at most
+    n = {(e, k): x for e, k, x in zip(*(rows[c].to_pylist() for c in ("entry", "kind", "n")))}
     p, q = n.get(("", 1), 0) + 1, n.get(("", 0), 0) + 1
     out = {}
     for e, w in weights.items():

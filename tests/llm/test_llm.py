@@ -355,3 +355,14 @@ def test_abuse_on_held_out(spark):
     none = abuse.scored(docs, marks.limit(0))
     assert none.count() == 702 and none.where("score is not null").count() == 0 and abuse.found(none).count() == 0
     assert abuse.rates(none).count() == 3
+
+
+def test_abuse_lexicon_is_whole(spark):
+    letters = str.maketrans("0123456789", "klmnpqrsvw")
+    harmless = [" ".join(f"h{n:05d}x".translate(letters) for n in range(i * 300, i * 300 + 300)) for i in range(40)]
+    rows = [(x, y, f) for f in range(4) for x, y in [*((h, 0) for h in harmless), ("zorro nuda", 1), ("zorro zuzu", 1)]]
+    known = {w for h in harmless for w in abuse.passages(h)[0].words}
+    assert len(known) > 11_000
+    for w in abuse._weights(spark.createDataFrame(rows, "text string, y int, fold int"), None):
+        assert known <= w.keys() and all(w[x] < -1 for x in known)
+        assert min(w["zorro"], w["zuzu"], w["nuda"]) > 1
