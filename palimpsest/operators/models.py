@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tfidf_pipeline(vocabulary: int = 20_000, buckets: int = 1 << 16, c: float = 4.0, n: int = 1_000) -> Pipeline:
-    """Words and pairs of words by vocabulary, characters 3-5 within words by hash, each part of unit
-    length; regParam is 1 / (C n)."""
+def tfidf_pipeline(vocabulary: int = 200_000, c: float = 4.0, n: int = 1_000) -> Pipeline:
+    """Words and pairs of words, and characters 3-5 within words, each by a vocabulary of its most
+    frequent terms and of unit length; regParam is 1 / (C n)."""
     grams = "transform(sequence(1, greatest(length(w) - {n} + 1, 1)), i -> substring(w, i, {n}))"
     each = ", ".join(grams.format(n=k) for k in (3, 4, 5))
     chars = f"SELECT *, flatten(transform(words, x -> aggregate(array(concat(' ', x, ' ')), cast(array() as array<string>), (a, w) -> concat(a, {each})))) AS chars FROM __THIS__"
@@ -22,7 +22,7 @@ def tfidf_pipeline(vocabulary: int = 20_000, buckets: int = 1 << 16, c: float =
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
         SQLTransformer(statement=chars),
         CountVectorizer(inputCol="terms", outputCol="tf_w", minDF=2, vocabSize=vocabulary),
-        HashingTF(inputCol="chars", outputCol="tf_c", numFeatures=buckets),
+        CountVectorizer(inputCol="chars", outputCol="tf_c", minDF=2, vocabSize=vocabulary),
         IDF(inputCol="tf_w", outputCol="w_w", minDocFreq=2), IDF(inputCol="tf_c", outputCol="w_c", minDocFreq=2),
         Normalizer(inputCol="w_w", outputCol="u_w"), Normalizer(inputCol="w_c", outputCol="u_c"),
         VectorAssembler(inputCols=["u_w", "u_c"], outputCol="features"),

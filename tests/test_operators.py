@@ -1,10 +1,11 @@
 import random
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.operators import cascade, generate, leakage, metrics, reports, retrieval
+from palimpsest.operators import cascade, generate, leakage, metrics, models, reports, retrieval
 from palimpsest.sources import readers
 from palimpsest.streaming import inspection
 
@@ -119,6 +120,15 @@ def test_reports(spark):
     assert {(r["domain"], r["n"], r["positives"]) for r in reports.describe(d).collect()} == {("x", 2, 1), ("y", 1, 0), (None, 3, 1)}
 
 
+def test_tfidf_vocabulary_is_whole(spark):
+    words = [f"w{i}" for i in range(10_500)]
+    rows = [(" ".join(words), i % 2) for i in range(2)] + [("zq", 1), ("zq", 1), ("only", 0)]
+    model = Pipeline(stages=models.tfidf_pipeline().getStages()[:6]).fit(spark.createDataFrame(rows, "text string, label int").coalesce(1))
+    terms, chars = (set(s.vocabulary) for s in model.stages if hasattr(s, "vocabulary"))
+    assert terms == {*words, "zq", *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+    assert chars == {f" {w} "[i : i + n] for w in [*words, "zq"] for n in (3, 4, 5) for i in range(max(1, len(w) + 3 - n))}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"id": 7, "text": "è", "poisoned": "1"}\n\n{"id": "b", "text": "t", "n": 3}\n')
     c = readers.read_corpus(spark, str(tmp_path / "c.jsonl"))
