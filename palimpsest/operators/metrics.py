@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.functions import fixed
-from palimpsest.functions.draws import draw
 
 
 def wilson(successes: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:
@@ -69,25 +71,47 @@ def f1_at(df: DataFrame, keys: list[str], tau: float) -> DataFrame:
     return a.select(*keys, F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
 
 
-def bootstrap_auc(df: DataFrame, keys: list[str], id_col: str, repeats: int = 20) -> DataFrame:
+def _resampled(keys: list[str], repeats: int):
+    """(keys, cell, batch, r, pos, neg, u): each batch's resampled counts, and its pairs in the right order."""
+
+    def run(batches):
+        for i, b in enumerate(batches):
+            for _, g in b.groupby(keys, dropna=False, sort=False):
+                pos, neg, u = np.zeros(repeats), np.zeros(repeats), np.zeros(repeats)
+                for at in range(0, len(g), 500):
+                    part = g.iloc[at : at + 500]
+                    p, n = np.empty((len(part), repeats)), np.empty((len(part), repeats))
+                    for j, (seed, x, y) in enumerate(zip(part["seed"], part["pos"], part["neg"])):
+                        rng = np.random.Generator(np.random.Philox(key=int(seed) % 2**64))
+                        p[j], n[j] = rng.poisson(x, repeats) if x else 0, rng.poisson(y, repeats) if y else 0
+                    u += (p * (neg + n.cumsum(axis=0) - n / 2)).sum(axis=0)
+                    pos += p.sum(axis=0)
+                    neg += n.sum(axis=0)
+                first = {k: [g[k].iloc[0]] * repeats for k in keys}
+                yield pd.DataFrame({**first, "cell": g["cell"].iloc[0], "batch": i, "r": range(repeats), "pos": pos, "neg": neg, "u": u})
+
+    return run
+
+
+def bootstrap_auc(df: DataFrame, keys: list[str], id_col: str, repeats: int = 1_000) -> DataFrame:
     """(keys, low, high): percentile interval of the AUC over Poisson resamples.
 
-    Each row's weight in a repeat is a Poisson(1) draw from its id, so a resample needs no shuffle of
-    rows and no index; weights are summed by distinct score first.
+    Each row's weight in a repeat is Poisson(1), so a distinct score's weight is Poisson of its count,
+    drawn from the smallest hash of its ids. Ranges of the score are resampled apart, for all repeats at
+    once; what moves are their sums, not rows times repeats.
     """
-    u = (draw(F.concat_ws("|", F.col(id_col).cast("string"), F.col("r").cast("string")), "boot", 1_000_000) + 0.5) / 1_000_000.0
-    edges, total, p = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    weight = sum(((u > e).cast("int") for e in edges[1:]), (u > edges[0]).cast("int"))
-    rows = df.where("label is not null and score is not null").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("w", weight).where("w > 0")
-    steps = rows.groupBy(*keys, "r", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0)).alias("neg"))
-    w = Window.partitionBy(*keys, "r").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    auc = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
-    each = steps.groupBy(*keys, "r").agg(auc.alias("auc"))
+    seeds = df.where("label is not null and score is not null").groupBy(*keys, "score").agg(
+        F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg"), F.min(F.xxhash64(*keys, "score", id_col)).alias("seed")
+    )
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = seeds.repartitionByRange(ranges, *keys, "score").sortWithinPartitions(*keys, "score").withColumn("cell", F.spark_partition_id())
+    kind = StructType([seeds.schema[k] for k in keys])
+    for name, of in (("cell", "integer"), ("batch", "integer"), ("r", "integer"), ("pos", "double"), ("neg", "double"), ("u", "double")):
+        kind = kind.add(name, of)
+    w = Window.partitionBy(*keys, "r").orderBy("cell", "batch").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cells.mapInPandas(_resampled(keys, repeats), kind).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
+    auc = F.sum(F.col("u") + F.col("pos") * F.col("below")) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))
+    each = parts.groupBy(*keys, "r").agg(auc.alias("auc"))
     return each.groupBy(*keys).agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
 
 

@@ -1,5 +1,7 @@
+import inspect
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
@@ -98,6 +100,24 @@ def test_metrics(spark):
     assert metrics.detector_table(df, ["g"]).count() == 3
 
 
+def test_bootstrap_is_whole(spark):
+    rng = np.random.default_rng(3)
+    label = rng.integers(0, 2, 400)
+    score = (rng.normal(size=400) + label).round(1)
+    df = spark.createDataFrame([(None, i, int(y), float(s)) for i, (y, s) in enumerate(zip(label, score))], "g string, i int, label int, score double")
+    right = (score[:, None] > score) + (score[:, None] == score) / 2
+    aucs = []
+    for _ in range(4_000):
+        n = np.bincount(rng.integers(0, 400, 400), minlength=400)
+        p, q = n * label, n * (1 - label)
+        aucs.append(p @ right @ q / p.sum() / q.sum())
+    got = metrics.bootstrap_auc(df, ["g"], "i").collect()
+    assert len(got) == 1 and got == metrics.bootstrap_auc(df.repartition(7), ["g"], "i").collect()
+    for x, at in ((got[0]["low"], 0.025), (got[0]["high"], 0.975)):
+        assert abs(x - np.quantile(aucs, at)) < np.std(aucs) / 4
+    assert inspect.signature(metrics.bootstrap_auc).parameters["repeats"].default == 1_000
+
+
 def test_retrieval(spark):
     rng = random.Random(4)
     rows = [(i, [rng.randrange(-3, 4) / 2 for _ in range(4)]) for i in range(60)]
