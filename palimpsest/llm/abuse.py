@@ -2,30 +2,38 @@
 
 A document is read passage by passage (sentences and lines). Words are taken in problem-1 form and
 lower case with disguises undone: letters spelled apart, digits and signs for letters, stretched
-letters, and stars matched against the lexicon. The lexicon holds runs of one to three words with
-their log-odds between labelled documents; public swear words are in it from the start, and
-the whole corpus has its say on what mostly stands in harmless passages. Features are
-dense: the largest lexicon weight and density of a passage, how near a second person is to it,
-capitals, exclamation marks, disguises. Gradient-boosted trees over them are fitted on the labelled
-documents, on features whose lexicon never saw the document's label, and their scores are calibrated by
-isotonic regression on scores of trees that never saw the document.
+letters, and stars matched against the lexicon. Words run together (over LONG letters, or spelled
+apart) are cut at the words the lexicon knows; no word is skipped. Texts are parsed once, into a table
+of hashed words in the shared folder; everything after reads that table, and the work on it is done on
+whole batches of hashes (64 bits; runs of words are hashes of hashes).
+
+The lexicon holds runs of one to three words with their log-odds between labelled documents; public
+swear words are in it from the start, and the whole corpus has its say on what mostly stands in
+harmless passages. Every run with |weight| over 1 is kept. Features are dense: the largest lexicon
+weight and density of a passage, how near a second person is to it, capitals, exclamation marks,
+disguises. Gradient-boosted trees over them are fitted on the labelled documents, on features whose
+lexicon never saw the document's label, and their scores are calibrated by isotonic regression on
+scores of trees that never saw the document.
 
 Only the lexicon and the trees come from a sample: at most MOST_LABELLED labelled documents, those
 of smallest hash. Every document is scored, on its whole text.
 
 Cases: documents without id are left out, repeated ones count once; NULL, empty and blank texts
-score 0; labels that are NULL are ignored, documents whose raters disagree evenly are not used;
-without labels of both classes there is nothing to learn and every score is NULL.
+score 0; labels that are NULL are ignored, a rater who contradicts themself counts with the mean of
+what they said, documents whose raters disagree evenly are not used; without labels of both classes
+there is nothing to learn and every score is NULL.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canon import transducer
-from palimpsest.operators.lineage import cut
+from palimpsest.operators.lineage import cut, ensure_checkpoint_dir
 from palimpsest.operators.tables import table
 
 #: Labelled documents that are learned from at most; they also bound the lexicon.
@@ -48,6 +56,8 @@ ROUNDS = 1
 COMPANY = 4.0
 #: Words from which a passage tells something about the company of its entries.
 TELLING = 6
+#: Letters from which a word is taken for several run together.
+LONG = 24
 
 #: Insults and sexual words known beforehand (English, Italian, Spanish).
 SEED = (
@@ -58,75 +68,201 @@ SEED = (
 ).split()
 SECOND = frozenset("you your yours yourself u ur tu ti te sei tuo tua vai eres vete tienes vosotros voi".split())
 
-_PASSAGE = re.compile(r"(?<=[.!?])\s+|\n+")
+_ENDS = re.compile(r"([.!?])\s+")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_]([-.*_ ]))(?:[^\W\d_]\1){2,}[^\W\d_](?![^\W_])")
+#: What every text with such letters holds; quicker to look for.
+_MAYBE_APART = re.compile(r"[-.*_ ][^\W\d_][-.*_ ][^\W\d_][-.*_ ]")
+_SEPARATOR = re.compile(r"[-.*_ ]")
+#: Stands before a word that was spelled apart (a private character, taken out of texts beforehand).
+_JOINED = ""
 _LEET = str.maketrans("013457@$!|", "oieastasii")
-_TOKEN = re.compile(r"[^\W_]+(?:[*@$!|]+[^\W_]+)*|[@$][^\W_]+(?:[*@$!|]+[^\W_]+)*")
+_TOKEN = re.compile(rf"{_JOINED}?[^\W_]+(?:[*@$!|]+[^\W_]+)*|[@$][^\W_]+(?:[*@$!|]+[^\W_]+)*")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _NUMBER = re.compile(r"\d+")
+_UPPER = bytes(range(65, 91))
+_LETTERS = _UPPER + bytes(range(97, 123))
+
+
+def word_hash(word: str) -> int:
+    """What xxhash64() of a string column gives."""
+    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_word(raw: str) -> tuple[str, int, bool]:
+    """(word, disguises undone, whether the lexicon has to look at its letters)."""
+    joined = raw[0] == _JOINED
+    if joined:
+        raw = raw[1:]
+    w = raw.lower() if raw.isascii() else transducer().fold(raw)
+    disguised = int(joined)
+    if not w.isalpha():
+        if w.isdigit():
+            w = "#"
+        elif "*" in w:
+            disguised += 1
+        else:
+            plain = w.translate(_LEET)
+            if plain.isalpha() and sum(map(str.isdigit, w)) * 2 <= len(w) + 2:
+                w = plain
+                disguised += 1
+            else:
+                w = _NUMBER.sub("#", w)
+    short = _STRETCH.sub(r"\1", w)
+    if short != w:
+        disguised += 1
+        w = short
+    elif raw[1:] != raw[1:].lower() and raw[1:] != raw[1:].upper():
+        disguised += 1
+    if len(w) > LONG and not w.replace("*", "").isalpha():
+        w = "#long"  # an encoded blob: a word of its own, so its neighbours don't meet
+    return w, disguised, "*" in w or joined and len(w) > 7 or len(w) > LONG
+
+
+class Reader:
+    """Texts to passages of hashed words; words met once are kept."""
+
+    MEMO = 300_000  # words kept per process; beyond it they are read again
+
+    def __init__(self) -> None:
+        self.memo: dict[str, tuple[int, int, str | None, str]] = {}
+
+    def word(self, raw: str) -> tuple[int, int, str | None, str]:
+        """(hash, disguises, the word itself if it is odd, the word)."""
+        w, disguised, odd = plain_word(raw)
+        out = (word_hash(w), disguised, w if odd else None, w)
+        if len(self.memo) < self.MEMO:
+            self.memo[raw] = out
+        return out
+
+    def passages(self, text: str | None) -> Iterator[tuple[list, float, float]]:
+        """(words as of word(), share of capitals, marks in a hundred characters) of each passage."""
+        if not text or text.isspace():
+            return
+        shown = transducer().apply(text).replace(_JOINED, "")
+        if _MAYBE_APART.search(shown):
+            shown = _APART.sub(lambda m: _JOINED + _SEPARATOR.sub("", m.group()), shown)
+        memo, read = self.memo, self.word
+        for p in _ENDS.sub("\\1\n", shown).split("\n"):
+            if not p or p.isspace():
+                continue
+            if p.isascii():
+                b = p.encode()
+                letters, capitals = len(b) - len(b.translate(None, _LETTERS)), len(b) - len(b.translate(None, _UPPER))
+            else:
+                letters, capitals = sum(map(str.isalpha, p)), sum(map(str.isupper, p))
+            marks = (p.count("!") + p.count("?") / 2) / len(p) * 100
+            yield [memo.get(t) or read(t) for t in _TOKEN.findall(p)], capitals / letters if letters else 0.0, marks
+
+
+TOKENS = "words array<bigint>, sizes array<int>, capitals array<float>, marks array<float>, disguised array<int>, odd_at array<int>, odd array<string>"
+
+
+def _lists(values: list, offsets: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def _parse(keys: list[str], strings: bool):
+    """Batches (keys, text) to (keys, TOKENS[, strings]): sizes, capitals, marks and disguised per passage,
+    odd_at and odd the words that the lexicon has to look at and where they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for big in batches:
+            for at in range(0, big.num_rows, 2_000):
+                b = big.slice(at, 2_000)
+                words, sizes, capitals, marks, disguised, odd_at, odd, plain = ([] for _ in range(8))
+                ends: list[list[int]] = [[0], [0], [0]]  # of words, passages, odd words
+                for text in b.column("text").to_pylist():
+                    first = len(words)
+                    for tokens, c, m in reader.passages(text):
+                        start = len(words)
+                        words += [t[0] for t in tokens]
+                        sizes.append(len(tokens))
+                        capitals.append(c)
+                        marks.append(m)
+                        disguised.append(sum([t[1] for t in tokens]))
+                        if strings:
+                            plain += [t[3] for t in tokens]
+                        if disguised[-1] or any([t[2] for t in tokens]):
+                            for i, t in enumerate(tokens, start - first):
+                                if t[2] is not None:
+                                    odd_at.append(i)
+                                    odd.append(t[2])
+                    for e, v in zip(ends, (words, sizes, odd)):
+                        e.append(len(v))
+                out = [b.column(k) for k in keys] + [
+                    _lists(words, ends[0], pa.int64()), _lists(sizes, ends[1], pa.int32()), _lists(capitals, ends[1], pa.float32()),
+                    _lists(marks, ends[1], pa.float32()), _lists(disguised, ends[1], pa.int32()), _lists(odd_at, ends[2], pa.int32()), _lists(odd, ends[2], pa.string()),
+                ]
+                names = [*keys, "words", "sizes", "capitals", "marks", "disguised", "odd_at", "odd"]
+                if strings:
+                    out.append(_lists(plain, ends[0], pa.string()))
+                    names.append("strings")
+                yield pa.RecordBatch.from_arrays(out, names)
 
+    return run
 
-class Passage:
-    """A passage's words with disguises undone, and what its characters look like."""
-
-    __slots__ = ("words", "disguised", "capitals", "marks", "named", "size")
-
-    def __init__(self, text: str) -> None:
-        self.disguised = 0
-        joined, n = _APART.subn(lambda m: re.sub(r"[-.*_ ]", "", m.group()), text)
-        self.disguised += n
-        letters = sum(map(str.isalpha, text))
-        self.capitals = sum(map(str.isupper, text)) / letters if letters else 0.0
-        self.marks = text.count("!") + text.count("?") / 2
-        self.size = len(text)
-        self.words: list[str] = []
-        self.named = False
-        for m in _TOKEN.finditer(joined):
-            raw = m.group()
-            if len(raw) > 24:
-                continue  # encoded blobs
-            w = raw.lower() if raw.isascii() else transducer().fold(raw)
-            if not w.isalpha():
-                if w.isdigit():
-                    w = "#"
-                elif "*" in w:
-                    self.disguised += 1
-                else:
-                    plain = w.translate(_LEET)
-                    if plain.isalpha() and sum(map(str.isdigit, w)) * 2 <= len(w) + 2:
-                        w = plain
-                        self.disguised += 1
-                    else:
-                        w = _NUMBER.sub("#", w)
-            short = _STRETCH.sub(r"\1", w)
-            if short != w:
-                self.disguised += 1
-                w = short
-            elif raw[1:] != raw[1:].lower() and raw[1:] != raw[1:].upper():
-                self.disguised += 1
-            self.words.append(w)
+
+def parsed(rows: DataFrame, keys: list[str], strings: bool = False) -> DataFrame:
+    """(keys, TOKENS[, strings]) of rows (keys, text)."""
+    kinds = dict(rows.dtypes)
+    kind = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + TOKENS + (", strings array<string>" if strings else "")
+    return rows.select(*keys, "text").mapInArrow(_parse(keys, strings), kind)
 
 
-def passages(text: str | None) -> list[Passage]:
-    if not text or text.isspace():
-        return []
-    return [Passage(p) for p in _PASSAGE.split(transducer().apply(text)) if p.strip()]
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
 
 
-def entries_of(p: Passage) -> set[str]:
-    w = p.words
-    return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:])), *(f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:]))}
+def run_hash(words: list[str]) -> int:
+    """The hash under which a run of one to three words is kept."""
+    h = np.array([word_hash(w) for w in words], np.int64).view(np.uint64)
+    out = h[:1]
+    for k in range(1, len(h)):
+        out = _mix(out, h[k : k + 1])
+    return int(out.view(np.int64)[0])
 
 
 class Lexicon:
-    """Weights of runs of words; starred words are looked up by their visible letters."""
+    """Weights of runs of words by hash, one column for each fold left out and one for none.
+
+    Starred words are looked up by their visible letters, words run together by the words in them;
+    both among the words of some length that weigh something in any column.
+    """
+
+    BITS = 22
 
-    def __init__(self, weights: dict[str, float]) -> None:
-        self.weights = weights
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, words: list[str]) -> None:
+        order = np.argsort(keys.view(np.uint64))
+        self.keys, self.weights = keys.view(np.uint64)[order], weights[order]
+        self.words = words
+        self._ready = False
+
+    def _prepare(self) -> None:
+        self.may = np.zeros(1 << self.BITS, bool)
+        self.may[self.keys >> np.uint64(64 - self.BITS)] = True
         self.by_shape: dict[tuple[int, str], list[str]] = {}
-        for w, x in weights.items():
-            if x > 1 and " " not in w:
-                self.by_shape.setdefault((len(w), w[0]), []).append(w)
+        for w in self.words:
+            self.by_shape.setdefault((len(w), w[0]), []).append(w)
+        self.inside = {w for w in self.words if len(w) > 3} | {w for w in SECOND if len(w) > 2}
+        self.longest = max(map(len, self.inside), default=0)
+        self._ready = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of hashes in the lexicon, -1 for those that it lacks."""
+        if not self._ready:
+            self._prepare()
+        out = np.full(len(h), -1, np.int64)
+        at = np.flatnonzero(self.may[h >> np.uint64(64 - self.BITS)])
+        if len(at):
+            row = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+            hit = self.keys[row] == h[at]
+            out[at[hit]] = row[hit]
+        return out
 
     def unstar(self, w: str) -> str:
         for known in self.by_shape.get((len(w), w[0]), ()):
@@ -134,186 +270,323 @@ class Lexicon:
                 return known
         return w
 
-    def weight(self, p: Passage) -> float:
-        """The sum of a passage's entries' weights."""
-        w = [self.unstar(x) if "*" in x else x for x in p.words]
-        get = self.weights.get
-        two = sum(get(f"{a} {b}", 0.0) for a, b in zip(w, w[1:]))
-        return sum(get(x, 0.0) for x in w) + two + sum(get(f"{a} {b} {c}", 0.0) for a, b, c in zip(w, w[1:], w[2:]))
-
-    def features(self, text: str | None) -> list[float]:
-        """What FEATURES names, for one document."""
-        best: list[tuple[float, list[float]]] = []
-        total_disguised = 0
-        weights = self.weights
-        for p in passages(text):
-            w = p.words
-            if p.disguised:
-                w = p.words = [self.unstar(x) if "*" in x else x for x in w]
-                total_disguised += p.disguised
-            sum_, top, hits, strong_at = 0.0, 0.0, 0, []
-            for i, x in enumerate(w):
-                x1 = weights.get(x, 0.0)
-                x2 = weights.get(f"{x} {w[i + 1]}", 0.0) if i + 1 < len(w) else 0.0
-                x3 = weights.get(f"{x} {w[i + 1]} {w[i + 2]}", 0.0) if i + 2 < len(w) else 0.0
-                sum_ += x1 + x2 + x3
-                m = max(x1, x2, x3)
-                if m > 2:
-                    hits += 1
-                    strong_at.append(i)
-                    top = max(top, m)
-            near = 0.0
-            if strong_at:
-                second = [i for i, x in enumerate(w) if x in SECOND]
-                if second:
-                    near = 1 / (1 + min(abs(i - j) for i in strong_at for j in second))
-            n = max(1, len(w))
-            best.append((sum_, [sum_, sum_ / n, top, hits, hits / n, near, p.capitals, p.marks / max(1, p.size) * 100, p.disguised / n]))
-        if not best:
-            return [0.0] * len(FEATURES)
-        best.sort(key=lambda x: -x[0])
-        second = best[1][0] if len(best) > 1 else 0.0
-        return best[0][1] + [second, float(total_disguised), float(sum(x[1][3] > 0 for x in best)), math.log1p(len(best))]
+    def split(self, w: str) -> list[str]:
+        """A word run together, cut at the words known; what is between them stays in pieces."""
+        out, at, i = [], 0, 0
+        while i < len(w):
+            for n in range(min(self.longest, len(w) - i), 2, -1):
+                if w[i : i + n] in self.inside:
+                    out += [w[at:i]] * (at < i) + [w[i : i + n]]
+                    at = i = i + n
+                    break
+            else:
+                i += 1
+        return out + [w[at:]] * (at < len(w))
+
+    def plain(self, w: str) -> list[str]:
+        if not self._ready:
+            self._prepare()
+        if "*" in w:
+            return [self.unstar(w)]
+        return [w] if w in self.inside else self.split(w)
+
+
+class Batch:
+    """The words of a batch of parsed documents, with the runs that each begins and their passages."""
+
+    def __init__(self, b: pa.RecordBatch, lexicon: Lexicon | None = None) -> None:
+        def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+            column = b.column(name)
+            ends = column.offsets.to_numpy()
+            return column.flatten().to_numpy(zero_copy_only=False), ends - ends[0]
+
+        words, word_ends = flat("words")
+        self.sizes, ends = flat("sizes")
+        self.sizes = self.sizes.astype(np.int64)
+        self.capitals, self.marks, self.disguised = (flat(n)[0].astype(np.float64) for n in ("capitals", "marks", "disguised"))
+        self.docs, self.passages = b.num_rows, len(self.sizes)
+        self.doc = np.repeat(np.arange(self.docs), np.diff(ends))  # of each passage
+        self.words = words.view(np.uint64)
+        if lexicon is not None:
+            self._undisguise(b, lexicon, word_ends)
+        self.place = np.repeat(np.arange(self.passages), self.sizes)  # the passage of each word
+        w = self.words
+        n = len(w)
+        same2 = self.place[1:] == self.place[:-1] if n > 1 else np.zeros(0, bool)
+        same3 = self.place[2:] == self.place[:-2] if n > 2 else np.zeros(0, bool)
+        two = _mix(w[:-1], w[1:]) if n > 1 else w[:0]
+        #: By length of run: where it begins, and its hash.
+        self.runs = [(np.arange(n), w), (np.flatnonzero(same2), two[same2]), (np.flatnonzero(same3), _mix(two[:-1], w[2:])[same3] if n > 2 else w[:0])]
+
+    def _undisguise(self, b: pa.RecordBatch, lexicon: Lexicon, word_ends: np.ndarray) -> None:
+        column = b.column("odd_at")
+        if not len(column.flatten()):
+            return
+        first = np.cumsum(np.r_[0, self.sizes])  # of each passage, before anything moves
+        pieces, at = [], 0
+        words = self.words.copy()
+        sizes = self.sizes.copy()
+        for start, places, strings in zip(word_ends, column.to_pylist(), b.column("odd").to_pylist()):
+            for place, s in zip(places, strings):
+                i = int(start) + place
+                new = lexicon.plain(s)
+                if new == [s]:
+                    continue
+                h = np.array([word_hash(x) for x in new], np.int64).view(np.uint64)
+                if len(h) == 1:
+                    words[i] = h[0]
+                else:
+                    pieces += [words[at:i], h]
+                    at = i + 1
+                    sizes[np.searchsorted(first, i, "right") - 1] += len(h) - 1
+        self.words = np.concatenate([*pieces, words[at:]]) if pieces else words
+        self.sizes = sizes
+
+    def weights(self, lexicon: Lexicon, column: np.ndarray) -> list[np.ndarray]:
+        """By length of run, the weight of the run that begins at each word (0 for none), in the
+        lexicon's column for the word's document."""
+        out = []
+        for at, h in self.runs:
+            row = lexicon.find(h)
+            hit = np.flatnonzero(row >= 0)
+            x = np.zeros(len(self.words))
+            x[at[hit]] = lexicon.weights[row[hit], column[self.doc[self.place[at[hit]]]]]
+            out.append(x)
+        return out
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Per passage."""
+        return np.bincount(self.place, weights=x, minlength=self.passages)
 
 
 FEATURES = ["sum", "density", "top", "hits", "hit_share", "near", "capitals", "marks", "disguise", "next_sum", "disguises", "hit_passages", "length"]
 
 
+def features(b: Batch, lexicon: Lexicon, column: np.ndarray) -> np.ndarray:
+    """What FEATURES names, one row a document; ``column`` is the lexicon's column for each document."""
+    x1, x2, x3 = b.weights(lexicon, column)
+    sums = b.sums(x1 + x2 + x3)
+    most = np.maximum(np.maximum(x1, x2), x3)
+    strong = np.flatnonzero(most > 2)
+    where = b.place[strong]
+    hits = np.bincount(where, minlength=b.passages).astype(np.float64)
+    top, near = np.zeros(b.passages), np.zeros(b.passages)
+    np.maximum.at(top, where, most[strong])
+    second = np.flatnonzero(np.isin(b.words, np.array([word_hash(w) for w in sorted(SECOND)], np.int64).view(np.uint64)))
+    if len(second) and len(strong):
+        at = np.searchsorted(second, strong)
+        for k in (np.maximum(at - 1, 0), np.minimum(at, len(second) - 1)):
+            same = b.place[second[k]] == where
+            np.maximum.at(near, where[same], 1.0 / (1.0 + np.abs(second[k] - strong)[same]))
+    n = np.maximum(1, b.sizes)
+    each = np.stack([sums, sums / n, top, hits, hits / n, near, b.capitals, b.marks, b.disguised / n], axis=1)
+    out = np.zeros((b.docs, len(FEATURES)))
+    if not b.passages:
+        return out
+    order = np.lexsort((np.arange(b.passages), -sums, b.doc))
+    first = np.flatnonzero(np.r_[True, b.doc[order][1:] != b.doc[order][:-1]])
+    docs = b.doc[order[first]]
+    out[docs, :9] = each[order[first]]
+    next_ = first + 1
+    has = (next_ < len(order)) & np.isin(next_, first, invert=True)
+    out[docs[has], 9] = sums[order[next_[has]]]
+    out[:, 10] = np.bincount(b.doc, weights=b.disguised, minlength=b.docs)
+    out[:, 11] = np.bincount(b.doc, weights=hits > 0, minlength=b.docs)
+    out[:, 12] = np.log1p(np.bincount(b.doc, minlength=b.docs))
+    return out
+
+
+def votes(labels: DataFrame) -> DataFrame:
+    """(doc_id, y): what most raters say; each rater has one voice, raters without a name share one."""
+    said = labels.where("doc_id is not null and toxic in (0, 1)")
+    said = said.groupBy("doc_id", "rater" if "rater" in said.columns else F.lit(0).alias("rater")).agg(F.avg("toxic").alias("a"))
+    return said.groupBy("doc_id").agg(F.avg("a").alias("a")).where("a != 0.5").select("doc_id", (F.col("a") > 0.5).cast("int").alias("y"))
+
+
 def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, text, y, fold) of at most ``most`` labelled documents."""
-    votes = labels.where("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id", "rater"] if "rater" in labels.columns else ["doc_id", "toxic"])
-    y = votes.groupBy("doc_id").agg(F.avg("toxic").alias("a")).where("a != 0.5").select("doc_id", (F.col("a") > 0.5).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.where("doc_id is not null").select("doc_id", "text").join(y, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("x"))
-    return texts.select("doc_id", "x.text", "x.y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
+    """(doc_id, y, fold, TOKENS, strings) of at most ``most`` labelled documents, parsed where they are."""
+    y = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # so this side is bounded
+    rows = documents.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    tokens = parsed(rows.withColumn("h", F.xxhash64("text")), ["doc_id", "y", "h"], strings=True)
+    inner = [c for c in tokens.columns if c not in ("doc_id", "h")]
+    once = tokens.groupBy("doc_id").agg(F.min_by(F.struct(*inner), "h").alias("x"))
+    return once.select("doc_id", "x.*", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def _entry_rows(tagged):
-    """(entry, without, y, n): in how many documents or passages of a class entries occur, for each
-    fold left out (FOLDS: none).
+def _entry_rows(shared):
+    """(entry, fold, mask, n): in how many documents or passages runs occur, by the document's fold and
+    by the lexicons (bits of the mask) for which they are positive.
 
-    Without lexicons a document's class is its passages' class. With them, of a positive document
-    only the passages that carry its weight are positive.
+    Without a lexicon a document's class is its runs' class. With one, of a positive document only the
+    passages that carry its weight are positive, and passages are counted.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicons_ = [Lexicon(w) for w in tagged.value] if tagged else []
-        for b in batches:
-            count: Counter = Counter()
-            for text, y, fold in zip(b["text"], b["y"], b["fold"]):
-                parts = passages(text)
-                entries = [entries_of(p) for p in parts]
-                for k in range(FOLDS + 1):
-                    if k == fold:
-                        continue
-                    if not tagged:
-                        count.update((e, k, y) for e in set().union(*entries))
-                        continue
-                    sums = [lexicons_[k].weight(p) for p in parts] if y else []
-                    least = max(3.0, max(sums, default=0.0) / 2)
-                    for i, found_ in enumerate(entries):
-                        c = int(y and sums[i] >= least)
-                        count.update((e, k, c) for e in found_)
-            keys = list(count)
-            yield pd.DataFrame({"entry": [k[0] for k in keys], "without": [k[1] for k in keys], "y": [k[2] for k in keys], "n": [count[k] for k in keys]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value if shared else None
+        for big in batches:
+            for start in range(0, big.num_rows, 500):
+                rb = big.slice(start, 500)
+                b = Batch(rb)
+                y, fold = rb.column("y").to_numpy(), rb.column("fold").to_numpy()
+                if lexicon is None:
+                    mask, unit = np.where(y > 0, (1 << FOLDS + 1) - 1, 0), b.doc
+                    mask = mask[b.doc]
+                else:
+                    plain = Batch(rb, lexicon)
+                    mask, unit = np.zeros(b.passages, np.int64), np.arange(b.passages)
+                    for k in range(FOLDS + 1):
+                        sums = plain.sums(sum(plain.weights(lexicon, np.full(b.docs, k))))
+                        least = np.full(b.docs, 0.0)
+                        np.maximum.at(least, b.doc, sums)
+                        least = np.maximum(3.0, least / 2)
+                        mask |= ((y[b.doc] > 0) & (sums >= least[b.doc])).astype(np.int64) << k
+                entries, tags = [], []
+                for at, h in b.runs:
+                    place = b.place[at]
+                    _, once = np.unique(_mix(h, unit[place].astype(np.uint64)), return_index=True)
+                    entries.append(h[once])
+                    tags.append(mask[place[once]] * FOLDS + fold[b.doc[place[once]]])
+                h, tag = np.concatenate(entries), np.concatenate(tags)
+                order = np.lexsort((tag, h))
+                h, tag = h[order], tag[order]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])]) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.r_[first, len(h)])
+                h, tag = h[first], tag[first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array((tag % FOLDS).astype(np.int32)), pa.array((tag // FOLDS).astype(np.int32)), pa.array(n.astype(np.int64))],
+                    ["entry", "fold", "mask", "n"],
+                )
 
     return run
 
 
-def _weights(sample: DataFrame, tagged) -> list[dict[str, float]]:
-    """Entries' log-odds for each fold left out and for none; only what is kept reaches the driver."""
-    rows = sample.select("text", "y", "fold").mapInPandas(_entry_rows(tagged), "entry string, without int, y int, n bigint")
-    y = F.col("y") == 1
-    counts = cut(rows.groupBy("without", "entry").agg(F.sum(F.when(y, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~y, F.col("n")).otherwise(0)).alias("b")))
-    if tagged:  # a passage has some dozens of entries; their sums stand for the numbers of passages
-        totals = counts.groupBy("without").agg((F.sum("a") / 40).alias("p"), (F.sum("b") / 40).alias("q"))
+def _weights(sample: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, log-odds for each fold left out and for none) of the runs kept: those with an absolute
+    weight over 1 in any column. Only they reach the driver; the sample bounds them."""
+    spark = sample.sparkSession
+    rows = sample.select("y", "fold", "words", "sizes", "capitals", "marks", "disguised", "odd_at", "odd").mapInArrow(_entry_rows(shared), "entry bigint, fold int, mask int, n bigint")
+    own = [F.when((F.col("fold") != k) & (F.col("mask").bitwiseAND(1 << k) != 0), F.col("n")) for k in range(FOLDS + 1)]
+    rest = [F.when((F.col("fold") != k) & (F.col("mask").bitwiseAND(1 << k) == 0), F.col("n")) for k in range(FOLDS + 1)]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(f"{x}{k}") for x, cs in (("a", own), ("b", rest)) for k, c in enumerate(cs)]
+    counts = cut(rows.groupBy("entry").agg(*sums))
+    if shared:  # a passage has some dozens of entries; their sums stand for the numbers of passages
+        t = counts.agg(*[(F.sum(c) / 40).alias(c) for c in counts.columns[1:]]).first().asDict()
     else:
-        folds = sample.groupBy("fold").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).collect()
-        totals = sample.sparkSession.createDataFrame(
-            [(k, float(sum(r["p"] for r in folds if r["fold"] != k)), float(sum(r["q"] for r in folds if r["fold"] != k))) for k in range(FOLDS + 1)], "without int, p double, q double"
-        )
-    a, b, p, q = (F.col(c).cast("double") for c in ("a", "b", "p", "q"))
-    p, q = F.greatest(p, F.lit(1.0)), F.greatest(q, F.lit(1.0))
-    odds = F.log((a + 0.5 * p / (p + q)) / (p + 0.5)) - F.log((b + 0.5 * q / (p + q)) / (q + 0.5))
-    told = counts.where(F.col("a") + F.col("b") >= LEAST_DOCS).join(F.broadcast(totals), "without").select("without", "entry", F.greatest(F.lit(-6.0), F.least(F.lit(6.0), odds)).alias("w"))
-    # one row an entry, so that the lexicons share its string
-    each = [F.max(F.when(F.col("without") == k, F.col("w"))).alias(f"w{k}") for k in range(FOLDS + 1)]
-    kept = told.where(F.abs("w") > 1).groupBy("entry").agg(*each).toArrow()
-    names = kept["entry"].to_pylist()
-    out: list[dict[str, float]] = []
+        folds = {(r["fold"], r["y"]): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
+        t = {f"{x}{k}": float(sum(n for (f, y), n in folds.items() if f != k and y == v)) for x, v in (("a", 1), ("b", 0)) for k in range(FOLDS + 1)}
+    columns = []
     for k in range(FOLDS + 1):
-        own = ((e, w) for e, w in zip(names, kept[f"w{k}"].to_pylist()) if w is not None)
-        out.append(dict(sorted(own, key=lambda x: (-abs(x[1]), x[0]))))
-    seen = {(r["without"], r["entry"]) for r in told.where(F.col("entry").isin(SEED)).select("without", "entry").collect()}
-    for k, weights in enumerate(out):
-        weights.update({w: 3.0 for w in SEED if (k, w) not in seen})
-    return out
-
-
-def lexicons(sample: DataFrame) -> tuple[list[dict], dict]:
-    """For each fold the weights from the other folds, and the weights from all.
+        p, q = max(1.0, t[f"a{k}"]), max(1.0, t[f"b{k}"])
+        a, b = F.col(f"a{k}"), F.col(f"b{k}")
+        odds = F.log((a + 0.5 * p / (p + q)) / (p + 0.5)) - F.log((b + 0.5 * q / (p + q)) / (q + 0.5))
+        columns.append(F.when(a + b >= LEAST_DOCS, F.greatest(F.lit(-6.0), F.least(F.lit(6.0), odds))).alias(f"w{k}"))
+    seeds = {run_hash([w]): w for w in SEED}
+    names = [f"w{k}" for k in range(FOLDS + 1)]
+    strong = F.lit(False)
+    for c in names:
+        strong = strong | F.coalesce(F.abs(c) > 1, F.lit(False))
+    kept = counts.select("entry", *columns).where(strong | F.col("entry").isin(list(seeds))).toArrow()
+    keys = kept["entry"].to_numpy()
+    told = np.stack([kept[c].to_numpy(zero_copy_only=False) for c in names], axis=1).astype(np.float64).reshape(-1, FOLDS + 1)
+    new = np.array([h for h in seeds if h not in set(keys.tolist())], np.int64)
+    is_seed = np.r_[np.isin(keys, np.array(list(seeds), np.int64)), np.ones(len(new), bool)]
+    keys, told = np.r_[keys, new], np.concatenate([told, np.full((len(new), FOLDS + 1), np.nan)])
+    weights = np.where(np.abs(told) > 1, told, 0.0)
+    weights[is_seed[:, None] & np.isnan(told)] = 3.0  # what the labels don't speak of
+    return keys, weights
+
+
+def _strings(sample: DataFrame, keys: np.ndarray, weights: np.ndarray) -> list[str]:
+    """The single words among the entries that weigh more than 1 in any column."""
+    spark = sample.sparkSession
+    strong = spark.createDataFrame(pa.table({"h": keys[(weights > 1).any(axis=1)]}))
+    words = sample.select(F.explode("strings").alias("w")).distinct().withColumn("h", F.xxhash64("w"))
+    return sorted({r["w"] for r in words.join(F.broadcast(strong), "h", "left_semi").select("w").collect() if "*" not in r["w"]} | set(SEED))
+
+
+def learned(sample: DataFrame) -> Lexicon:
+    """The lexicon: a column without each fold, and one from all.
 
     First from documents; then from passages, positive being those that carry a positive document's
     weight, so that what merely stands beside abuse loses its weight.
     """
-    start = _weights(sample, None)
-    for _ in range(ROUNDS):
-        start = _weights(sample, sample.sparkSession.sparkContext.broadcast(start))
-    return start[:FOLDS], start[FOLDS]
+    shared = None
+    for _ in range(ROUNDS + 1):
+        keys, weights = _weights(sample, shared)
+        out = Lexicon(keys, weights, _strings(sample, keys, weights))
+        shared = sample.sparkSession.sparkContext.broadcast(out)
+    return out
 
 
 def _company_rows(shared):
-    """(entry, kind, n): in how many passages an entry stands in abusive company, or not."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(shared.value)
-        weights = lexicon.weights
-        count: Counter = Counter()
-        for b in batches:
-            for text in b["text"]:
-                for p in passages(text):
-                    if p.disguised:
-                        p.words = [lexicon.unstar(x) if "*" in x else x for x in p.words]
-                    own = {e: weights[e] for e in entries_of(p) if e in weights}
-                    whole = sum(own.values())
-                    count["", int(whole >= COMPANY)] += 1
-                    for e, w in own.items():
-                        if w > 0 and len(p.words) >= TELLING:
-                            # without the entry and the longer entries that hold it
-                            rest = whole - sum(x for f, x in own.items() if x > 0 and f" {e} " in f" {f} ")
-                            count[e, int(rest >= COMPANY)] += 1
-        yield pd.DataFrame({"entry": [k[0] for k in count], "kind": [k[1] for k in count], "n": list(count.values())})
+    """(entry, kind, n): in how many passages a positive entry stands in abusive company, or not; for
+    entry NULL, how many passages are abusive, or not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        for rb in batches:
+            b = Batch(rb, lexicon)
+            weights = b.weights(lexicon, np.full(b.docs, FOLDS))
+            n = len(b.words)
+            first, groups, hashes = [], [], []  # of each length: an entry's first occurrence in its passage
+            for (at, h), x in zip(b.runs, weights):
+                hit = x[at] != 0
+                at, h = at[hit], h[hit]
+                key, once, group = np.unique(_mix(h, b.place[at].astype(np.uint64)), return_index=True, return_inverse=True)
+                own = np.zeros(n)
+                own[at[once]] = x[at[once]]
+                first.append(own)
+                groups.append((at, group, len(key)))
+                hashes.append((at[once], h[once], x[at[once]]))
+            whole = b.sums(sum(first))
+            p = int((whole >= COMPANY).sum())
+            entries, kinds, counts = [[None, None]], [[1, 0]], [[p, b.passages - p]]
+            up = [np.maximum(f, 0.0) for f in first]
+            shift = lambda v, k: np.r_[np.zeros(k), v[:-k]] if n > k else np.zeros(n)
+            # what holds the run that begins at a word: longer runs from there or from a word or two before
+            held = [up[0] + up[1] + shift(up[1], 1) + up[2] + shift(up[2], 1) + shift(up[2], 2), up[1] + up[2] + shift(up[2], 1), up[2]]
+            for (at, group, size), (once, h, x), inside in zip(groups, hashes, held):
+                place = b.place[once]
+                rest = whole[place] - np.bincount(group, weights=inside[at], minlength=size)
+                told = (x > 0) & (b.sizes[place] >= TELLING)
+                tag = (h[told] << np.uint64(1)) | (rest[told] >= COMPANY).astype(np.uint64)
+                key, at_, count = np.unique(tag, return_index=True, return_counts=True)
+                entries.append(h[told][at_].view(np.int64).tolist())
+                kinds.append((key & np.uint64(1)).astype(np.int64).tolist())
+                counts.append(count.tolist())
+            flat = lambda v: [x for part in v for x in part]
+            yield pa.RecordBatch.from_arrays([pa.array(flat(entries), pa.int64()), pa.array(flat(kinds), pa.int32()), pa.array(flat(counts), pa.int64())], ["entry", "kind", "n"])
 
     return run
 
 
-def sobered(documents: DataFrame, weights: dict[str, float]) -> dict[str, float]:
-    """Weights that the whole corpus bears out: an entry that mostly stands in harmless passages, by
-    the rest of what is in them, gets the weight of that share. Entries never fall below 0."""
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
-    kind = "entry string, kind int, n bigint"
-    rows = documents.select("text").mapInPandas(_company_rows(shared), kind).groupBy("entry", "kind").agg(F.sum("n").alias("n")).toArrow()  # two rows an entry at most
+def sobered(tokens: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """The lexicon as the whole corpus bears it out: an entry that mostly stands in harmless passages, by
+    the rest of what is in them, gets the weight of that share. Weights don't fall below 0 by it."""
+    shared = tokens.sparkSession.sparkContext.broadcast(lexicon)
+    rows = tokens.mapInArrow(_company_rows(shared), "entry bigint, kind int, n bigint").groupBy("entry", "kind").agg(F.sum("n").alias("n")).toArrow()  # two rows an entry at most
     n = {(e, k): x for e, k, x in zip(*(rows[c].to_pylist() for c in ("entry", "kind", "n")))}
-    p, q = n.get(("", 1), 0) + 1, n.get(("", 0), 0) + 1
-    out = {}
-    for e, w in weights.items():
+    p, q = n.get((None, 1), 0) + 1, n.get((None, 0), 0) + 1
+    weights = lexicon.weights.copy()
+    for i, e in enumerate(lexicon.keys.view(np.int64).tolist()):
+        a, b = n.get((e, 1), 0), n.get((e, 0), 0)
+        w = weights[i, FOLDS]
         if w > 0:
-            a, b = n.get((e, 1), 0), n.get((e, 0), 0)
-            share = math.log((a + 1) / (p + 1)) - math.log((b + 1) / (q + 1)) - math.log(q / p) / 2
-            w = max(0.0, min(w, share)) if a + b >= 2 * LEAST_DOCS else w
-        if w:
-            out[e] = w
-    return out
-
-
-def _featurise(lexicon_of, extra: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [lexicon_of(f).features(t) for t, f in zip(b["text"], b["fold"] if "fold" in b else [0] * len(b))]
-            out = pd.DataFrame(rows, columns=FEATURES, dtype=float)
-            for c in extra:
-                out[c] = b[c].to_numpy()
-            yield out
+            if a + b >= 2 * LEAST_DOCS:
+                share = math.log((a + 1) / (p + 1)) - math.log((b + 1) / (q + 1)) - math.log(q / p) / 2
+                w = max(0.0, min(w, share))
+            weights[i] = np.where(weights[i] > 0, np.minimum(weights[i], w), weights[i])
+            weights[i, FOLDS] = w
+    return Lexicon(lexicon.keys.view(np.int64), weights, lexicon.words)
+
+
+def _featurise(shared, extra: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            lexicon = shared.value
+            column = rb.column("fold").to_numpy() if "fold" in extra else np.full(rb.num_rows, FOLDS)
+            f = features(Batch(rb, lexicon), lexicon, column)
+            yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(len(FEATURES))), *(rb.column(c) for c in extra)], [*FEATURES, *extra])
 
     return run
 
@@ -329,26 +602,13 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = documents.where("doc_id is not null").select("doc_id", "source", "text")
     if classes != {0, 1}:
         return rows.groupBy("doc_id").agg(F.min("source").alias("source")).withColumn("score", F.lit(None).cast("double"))
-    per_fold, whole = lexicons(sample)
-    sober = sobered(documents.where("doc_id is not null"), whole)
-    per_fold = [{e: min(w, sober.get(e, 0.0)) if e in whole and w > 0 else w for e, w in x.items()} for x in per_fold]
-    whole = sober
-    shared_folds = spark.sparkContext.broadcast(per_fold)
-    shared = spark.sparkContext.broadcast(whole)
-    cache: dict[int, Lexicon] = {}
-
-    def of_fold(fold: int) -> Lexicon:
-        if fold not in cache:
-            cache[fold] = Lexicon(shared_folds.value[fold])
-        return cache[fold]
-
-    def of_all(_: int) -> Lexicon:
-        if -1 not in cache:
-            cache[-1] = Lexicon(shared.value)
-        return cache[-1]
+    at = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    parsed(rows, ["doc_id", "source"]).write.parquet(at)
+    tokens = spark.read.parquet(at)
+    shared = spark.sparkContext.broadcast(sobered(tokens, learned(sample)))
 
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    train = sample.mapInPandas(_featurise(of_fold, ["doc_id", "y", "fold"]), f"{_KIND}, doc_id bigint, y int, fold int")
+    train = sample.mapInArrow(_featurise(shared, ["doc_id", "y", "fold"]), f"{_KIND}, doc_id bigint, y int, fold int")
     train = cut(vector.transform(train.repartition(1).sortWithinPartitions("doc_id")).select("features", F.col("y").cast("double").alias("y"), "fold"))
     raw = vector_to_array("rawPrediction")[1].alias("raw")
 
@@ -364,8 +624,8 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
         calibration = trees.transform(train).select(raw, "y")
     isotonic = IsotonicRegression(labelCol="y", featuresCol="raw").fit(calibration)
     # repeated documents meet after scoring, so no text is moved
-    features = rows.mapInPandas(_featurise(of_all, ["doc_id", "source"]), f"{_KIND}, doc_id bigint, source string")
-    predicted = isotonic.transform(trees.transform(vector.transform(features)).select("doc_id", "source", raw))
+    found_ = tokens.mapInArrow(_featurise(shared, ["doc_id", "source"]), f"{_KIND}, doc_id bigint, source string")
+    predicted = isotonic.transform(trees.transform(vector.transform(found_)).select("doc_id", "source", raw))
     return predicted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("prediction").alias("score"))
 
 

@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,12 +323,68 @@ def test_leaks_with_bitmap(spark, monkeypatch):
 # --- problem 8 ---
 
 
+def _read(text):
+    return [([t[3] for t in tokens], c, m) for tokens, c, m in abuse.Reader().passages(text)]
+
+
+def _lexicon(weights):
+    keys = np.array([abuse.run_hash(w.split()) for w in weights], np.int64)
+    return abuse.Lexicon(keys, np.repeat(np.array(list(weights.values()))[:, None], abuse.FOLDS + 1, axis=1), [w for w in weights if " " not in w])
+
+
+def _features(texts, lexicon):
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    rows = list(abuse._parse(["doc_id"], False)(iter([b])))
+    return np.concatenate([abuse.features(abuse.Batch(r, lexicon), lexicon, np.full(r.num_rows, abuse.FOLDS)) for r in rows])
+
+
 def test_disguises():
-    for text in ("you i-d-i-o-t", "you i d i o t", "you 1d10t", "you idiooooot", "you IdIOt", "you іdіot"):
-        assert abuse.passages(text)[0].words[-1] == "idiot", text
-    lexicon = abuse.Lexicon({"idiot": 4.0})
+    for text in ("you i-d-i-o-t", "you i d i o t", "you 1d10t", "you idiooooot", "you IdIOt", "you іdіot", "you idi" + "i" * 40 + "ot"):
+        assert _read(text)[0][0][-1] == "idiot", text
+    lexicon = _lexicon({"idiot": 4.0, "worthless": 3.0, "garbage": 2.5})
+    lexicon.plain("x")
     assert lexicon.unstar("i***t") == "idiot" and lexicon.unstar("x***t") == "x***t"
-    assert abuse.passages(None) == abuse.passages(" \n") == [] and abuse.Lexicon({}).features("") == [0.0] * len(abuse.FEATURES)
+    assert _read(None) == _read(" \n") == []
+    assert lexicon.plain("youareaworthlesspieceofgarbage") == ["you", "area", "worthless", "pieceof", "garbage"]
+    sums = _features(["#youareaworthlesspieceofgarbage", "y o u a r e a n i d i o t", "i***t", "", None, "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ1"], lexicon)[:, 0]
+    assert sums.tolist() == [5.5, 4.0, 4.0, 0.0, 0.0, 0.0]
+    for w in ("é", "idiot", "", "x" * 40):
+        assert abuse.word_hash(w) == abuse.word_hash(w)
+
+
+def test_word_hash_is_sparks(spark):
+    words = ["é", "idiot", "", "x" * 40, "日本"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    assert {r["w"]: r["h"] for r in got} == {w: abuse.word_hash(w) for w in words}
+
+
+def test_abuse_features_against_a_plain_reading():
+    rng = random.Random(23)
+    vocab = ["you", "are", "an", "idiot", "the", "lamp", "x", "your"]
+    weights = {"idiot": 4.0, "are an": -1.5, "you are an": 2.5, "an idiot the": 3.0, "lamp": -2.0}
+    lexicon = _lexicon(weights)
+    texts = [". ".join(" ".join(rng.choice(vocab) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(5))) for _ in range(200)]
+    got = _features(texts, lexicon)
+    for text, row in zip(texts, got):
+        best = []
+        for words, c, m in _read(text):
+            runs = [[weights.get(" ".join(words[i : i + n]), 0.0) if i + n <= len(words) else 0.0 for n in (1, 2, 3)] for i in range(len(words))]
+            top = [max(r) for r in runs]
+            strong = [i for i, x in enumerate(top) if x > 2]
+            second = [i for i, w in enumerate(words) if w in abuse.SECOND]
+            near = 1 / (1 + min(abs(i - j) for i in strong for j in second)) if strong and second else 0.0
+            total = sum(map(sum, runs))
+            best.append((total, [total, total / max(1, len(words)), max((top[i] for i in strong), default=0.0), len(strong), len(strong) / max(1, len(words)), near, c, m]))
+        best.sort(key=lambda x: -x[0])
+        want = best[0][1] if best else [0.0] * 8
+        assert np.allclose(row[:8], want, atol=1e-5)
+        assert abs(row[9] - (best[1][0] if len(best) > 1 else 0.0)) < 1e-9 and row[11] == sum(b[1][3] > 0 for b in best)
+
+
+def test_votes(spark):
+    rows = [(1, "a", 1), (1, "a", 0), (1, "b", 1), (2, "a", 1), (2, "b", 0), (3, "a", None), (3, "b", 0), (4, None, 1), (None, "a", 1), (5, "a", 1), (5, "a", 0)]
+    got = {tuple(r) for r in abuse.votes(spark.createDataFrame(rows, "doc_id bigint, rater string, toxic int")).collect()}
+    assert got == {(1, 1), (3, 0), (4, 1)}
 
 
 def test_abuse_on_held_out(spark):
@@ -360,9 +418,12 @@ def test_abuse_on_held_out(spark):
 def test_abuse_lexicon_is_whole(spark):
     letters = str.maketrans("0123456789", "klmnpqrsvw")
     harmless = [" ".join(f"h{n:05d}x".translate(letters) for n in range(i * 300, i * 300 + 300)) for i in range(40)]
-    rows = [(x, y, f) for f in range(4) for x, y in [*((h, 0) for h in harmless), ("zorro nuda", 1), ("zorro zuzu", 1)]]
-    known = {w for h in harmless for w in abuse.passages(h)[0].words}
+    rows = [(x, y, f, i) for i, (x, y, f) in enumerate((x, y, f) for f in range(4) for x, y in [*((h, 0) for h in harmless), ("zorro nuda", 1), ("zorro zuzu", 1)])]
+    known = {w for h in harmless for w in _read(h)[0][0]}
     assert len(known) > 11_000
-    for w in abuse._weights(spark.createDataFrame(rows, "text string, y int, fold int"), None):
-        assert known <= w.keys() and all(w[x] < -1 for x in known)
-        assert min(w["zorro"], w["zuzu"], w["nuda"]) > 1
+    sample = abuse.parsed(spark.createDataFrame(rows, "text string, y int, fold int, h int"), ["y", "fold"], strings=True)
+    keys, weights = abuse._weights(sample, None)
+    at = {k: w for k, w in zip(keys.tolist(), weights)}
+    assert all((at[abuse.run_hash([w])] < -1).all() for w in known)
+    assert all((at[abuse.run_hash([w])] > 1).all() for w in ("zorro", "zuzu", "nuda"))
+    assert (at[abuse.run_hash(["coglione"])] == 3.0).all()
