@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
+    """The folder that all executors share: the session's, or that of ``spark.checkpoint.dir``.
 
-    A folder of this machine is used only where that setting is absent, as in tests.
+    Where neither is set, a session in one process (a ``local`` master, as in tests) gets a temporary
+    folder; any other raises, since a folder of one machine would be another one on each.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="palimpsest-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -25,3 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder; its plan starts there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared folder: columns that a reader doesn't need
+    aren't read, and repeated values take little room."""
+    at = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
