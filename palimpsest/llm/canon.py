@@ -1,9 +1,12 @@
 """Visually identical text with different characters: one form for all of it.
 
-A table from code points to what they show is computed once per process from Unicode's own
-decompositions and a list of look-alike letters, and checked for conflicts. Texts are then read
-cluster by cluster (a character and the marks and invisible characters after it), longest cluster
-first, and every cluster is replaced by its compiled output; clusters met once are kept.
+Two tables are compiled once per process from Unicode's own decompositions and a list of look-alike
+letters, and checked for conflicts: what each code point shows, taken apart into letters and marks, and
+the steps of a transducer whose states are composed characters: (state, mark) to the next state. Texts
+are then read in one pass, cluster by cluster (a character and the marks and invisible characters after
+it, always the longest), and every cluster takes its letter and as many steps as its marks allow;
+clusters met once are kept. Nothing is normalised while texts are read, but Hangul, whose syllables are
+a rule and no table.
 
 What counts as the same: widths (full, half), letter styles of the mathematical alphabets, joined
 letters, Roman numeral signs, every kind of blank of one character, letters of other alphabets that
@@ -28,13 +31,13 @@ from pyspark.sql.functions import arrow_udf
 
 #: Plain character -> characters of other alphabets that a reader takes for it.
 LOOKALIKES = {
-    "a": "аɑα", "b": "Ьᖯ", "c": "сϲᴄⅽ", "d": "ԁⅾ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іιⅰ",
-    "j": "јϳ", "l": "ӏⅼ", "m": "ⅿ", "n": "ոռ", "o": "оοօᴏ", "p": "рρ", "q": "ԛզ", "s": "ѕꜱ",
-    "u": "սυᴜ", "v": "ѵνᴠⅴ", "w": "ԝᴡ", "x": "хⅹ", "y": "уγү", "z": "ᴢ",
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟⅭ", "D": "ᎠⅮ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ",
-    "I": "ІΙӀⅠ", "J": "ЈͿᎫ", "K": "КΚᏦ", "L": "ᏞⅬ", "M": "МΜᎷⅯ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ",
-    "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙⅤ", "W": "ԜᎳ", "X": "ХΧⅩ", "Y": "ҮΥ", "Z": "ΖᏃ",
-    "-": "‐‑−", ":": "։꞉", ";": ";", ",": "‚", ".": "․",
+    "a": "аɑα", "b": "Ьᖯ", "c": "сϲᴄⅽⲥꮯ", "d": "ԁⅾ", "e": "еҽꬲ", "g": "ɡց", "h": "һհ", "i": "іιⅰꭵ",
+    "j": "јϳ", "l": "ӏⅼ", "m": "ⅿ", "n": "ոռ", "o": "оοօᴏⲟꬽ", "p": "рρⲣ", "q": "ԛզ", "r": "ꭇꭈⲅꮁ", "s": "ѕꜱꮪ",
+    "u": "սυᴜꭎꭒ", "v": "ѵνᴠⅴꮩ", "w": "ԝᴡꮃ", "x": "хⅹ", "y": "уγүꭚ", "z": "ᴢꮓ",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟⅭꓚⲤ", "D": "ᎠⅮꓓ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ",
+    "I": "ІΙӀⅠꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "ᏞⅬꓡ", "M": "МΜᎷⅯꓟⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ",
+    "Q": "Ԛ", "R": "ᏒꓣᎡ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ѴᏙⅤꓦ", "W": "ԜᎳꓪ", "X": "ХΧⅩꓫⲬ", "Y": "ҮΥꓬⲨ", "Z": "ΖᏃꓜ",
+    "-": "‐‑−", ":": "։꞉", ";": "\u037e", ",": "‚ꓹ", ".": "․ꓸ",
     "/": "⁄∕", "*": "∗", "|": "∣", "~": "∼",
 }
 
@@ -52,6 +55,7 @@ _INVISIBLE = (
 _MARKS = "\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u0610-\u061a\u064b-\u065f\u093c\u094d\u11a8-\u11ff\u1161-\u11a7\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\u3099\u309a\ufe20-\ufe2f"
 _PICT = "\xa9\xae\u203c-\u2bff\U0001f000-\U0001faff"
 _JOINED = re.compile("[\u0600-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u17ff\u1800-\u18af]")
+_HANGUL = re.compile("[\u1100-\u11ff\uac00-\ud7a3]")
 #: Characters that are already what they show, unless a mark follows.
 _INERT = "\xa1-\xac\xae-\xb4\xb6-\xff"
 #: A text without such a character is its own form (Java and Python read it alike).
@@ -93,6 +97,28 @@ def compile_table(lookalikes: dict[str, str] = LOOKALIKES) -> dict[int, str]:
     return table
 
 
+def compile_steps(table: dict[int, str]) -> tuple[dict[str, tuple[str, ...]], dict[str, str]]:
+    """(parts, steps): characters as the letters and marks that they show, and for a composed character
+    followed by a mark the character that both make. Raises ConflictError if a pair makes two."""
+    parts: dict[str, tuple[str, ...]] = {}
+    steps: dict[str, str] = {}
+    for cp in (*range(0x80, 0xAC00), *range(0xF900, 0x30000)):
+        ch = chr(cp)
+        rest = unicodedata.decomposition(ch)
+        if not rest and cp not in table:
+            continue
+        apart = unicodedata.normalize("NFD", ch)
+        shown = "".join(unicodedata.normalize("NFD", table.get(ord(c), c)) for c in apart)
+        if shown != ch:
+            parts[ch] = tuple(shown)
+        if rest and rest[0] != "<" and " " in rest:
+            pair = "".join(chr(int(x, 16)) for x in rest.split())
+            if unicodedata.normalize("NFC", pair) == ch:  # but what Unicode never composes
+                if steps.setdefault(pair, ch) != ch:
+                    raise ConflictError(f"{pair!r} makes two characters")
+    return parts, steps
+
+
 class Transducer:
     """The compiled mapping; ``apply`` brings a text to its form in one pass."""
 
@@ -100,6 +126,7 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table = compile_table()
+        self.parts, self.steps = compile_steps(self.table)
         ext = f"[{_CONTROLS}{_INVISIBLE}{_MARKS}]"
         self.strip = re.compile(f"[{_CONTROLS}{_INVISIBLE}]")
         self.strip_joined = re.compile(f"[{_CONTROLS}{_INVISIBLE}]".replace("\u200b-\u200f", "\u200b\u200e\u200f"))
@@ -112,12 +139,34 @@ class Transducer:
         self.memo: dict[str, str] = {"\r\n": "\n", "\r": "\n", "\x85": "\n", "\u2028": "\n", "\u2029": "\n"}
 
     def cluster(self, s: str) -> str:
-        strip = self.strip_joined if _JOINED.match(s) else self.strip
         if s[0] == "\U0001f3f4":  # flags are spelled with tags
             return s
-        get = self.table.get
-        out = "".join(get(ord(c), c) for c in strip.sub("", unicodedata.normalize("NFD", s)))
-        return unicodedata.normalize("NFC", out)
+        strip = self.strip_joined if _JOINED.match(s) else self.strip
+        s = strip.sub("", s)
+        if _HANGUL.search(s):
+            return unicodedata.normalize("NFC", s)
+        chars: list[str] = []
+        for c in s:
+            chars += self.parts.get(c, c)
+        rank = unicodedata.combining
+        if len(chars) > 2:  # marks in their order, each run of them by itself
+            at = 0
+            for i in range(1, len(chars) + 1):
+                if i == len(chars) or not rank(chars[i]):
+                    chars[at + 1 : i] = sorted(chars[at + 1 : i], key=rank)
+                    at = i
+        out: list[str] = []
+        letter, last = -1, 0  # where the state is; the rank of the last mark that was passed over
+        for c in chars:
+            r = rank(c)
+            if letter >= 0 and (len(out) == letter + 1 or last < r) and (to := self.steps.get(out[letter] + c)):
+                out[letter] = to
+                continue
+            if not r:
+                letter = len(out)
+            last = r
+            out.append(c)
+        return "".join(out)
 
     def _replace(self, m: re.Match[str]) -> str:
         s = m.group()
