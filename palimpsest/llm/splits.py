@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.canon import folded
 from palimpsest.operators.lineage import cut
+from palimpsest.operators.skew import PER_TASK, join_on_unique
 from palimpsest.operators.tables import table
 
 #: Values that tie nothing, in any case.
@@ -48,7 +49,7 @@ def chunk_doc_key(doc_id: Column) -> Column:
     return F.regexp_replace(doc_key(doc_id), "-v[0-9]+$", "")
 
 
-def tie_edges(docs: DataFrame) -> DataFrame:
+def tie_edges(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """(u, v), u > v, for records (id, domain, author, origin): members of one value, to its smallest."""
     values = F.array_compact(
         F.array(
@@ -62,23 +63,23 @@ def tie_edges(docs: DataFrame) -> DataFrame:
         .select("id", F.explode(values).alias("value"))
     )
     # Values of a single row are gone before the join; min and max combine on the map side.
-    least = held.groupBy("value").agg(F.min("id").alias("v"), F.max("id").alias("w")).where("v != w").select("value", "v")
-    return held.join(least, "value").where("id != v").select(F.col("id").alias("u"), "v").distinct()
+    least = held.groupBy("value").agg(F.min("id").alias("v"), F.max("id").alias("w"), F.count(F.lit(1)).alias("n")).where("v != w").select("value", "v", "n")
+    return join_on_unique(held, least, ["value"], "n", per_task).where("id != v").select(F.col("id").alias("u"), "v").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, per_task: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_on_unique(both.where("v > u"), least, ["u"], "n", per_task).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, per_task: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_on_unique(edges, least, ["u"], "n", per_task).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, per_task: int = PER_TASK) -> DataFrame:
     """(id, group): every vertex of the edges (u, v) with the smallest vertex of its component.
 
     No edges give no rows. Raises if most_rounds rounds don't settle it (the number of rounds grows
@@ -87,7 +88,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     pairs = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(most_rounds):
-        pairs = cut(_small_star(_large_star(pairs)))
+        pairs = cut(_small_star(_large_star(pairs, per_task), per_task))
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -133,20 +134,25 @@ def largest_differencing(weights: list[float], bins: int) -> tuple[list[int], li
     return where, totals
 
 
-def _fill_lane(bins: int):
+def _fill_lanes(bins: int):
+    """Batches sorted by lane, heaviest first, with the bin of each row; every lane fills bins of its own."""
+
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = [0.0] * bins
+        lane, totals = None, [0.0] * bins
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                part = batch.iloc[at : at + BLOCK]
-                where, sums = largest_differencing(part["weight"].astype(float).tolist(), bins)
-                # the block's fullest bin joins the lane's emptiest
-                down = sorted(range(bins), key=lambda k: -sums[k])
-                up = sorted(range(bins), key=lambda k: totals[k])
-                to = dict(zip(down, up))
-                for k in range(bins):
-                    totals[to[k]] += sums[k]
-                yield pd.DataFrame({"group": part["group"], "weight": part["weight"], "lane": part["lane"], "bin": [to[k] for k in where]})
+            for own, rows in batch.groupby("lane", sort=True):
+                if own != lane:
+                    lane, totals = own, [0.0] * bins
+                for at in range(0, len(rows), BLOCK):
+                    part = rows.iloc[at : at + BLOCK]
+                    where, sums = largest_differencing(part["weight"].astype(float).tolist(), bins)
+                    # the block's fullest bin joins the lane's emptiest
+                    down = sorted(range(bins), key=lambda k: -sums[k])
+                    up = sorted(range(bins), key=lambda k: totals[k])
+                    to = dict(zip(down, up))
+                    for k in range(bins):
+                        totals[to[k]] += sums[k]
+                    yield pd.DataFrame({"group": part["group"], "weight": part["weight"], "lane": part["lane"], "bin": [to[k] for k in where]})
 
     return fill
 
@@ -174,7 +180,7 @@ def allocate(totals: dict[tuple[int, int], float], bins: int, splits: dict[str,
     return {key: given[g] for key, g in to.items()}
 
 
-def balance(groups: DataFrame, splits: dict[str, float] = SPLITS, bins: int = BINS) -> DataFrame:
+def balance(groups: DataFrame, splits: dict[str, float] = SPLITS, bins: int = BINS, lane: int = LANE) -> DataFrame:
     """(group, weight, split) for groups (group, weight): whole groups, splits near their proportions.
 
     An empty table gives an empty one. A group heavier than a split's share goes to the split with
@@ -182,11 +188,11 @@ def balance(groups: DataFrame, splits: dict[str, float] = SPLITS, bins: int = BI
     """
     spark = groups.sparkSession
     groups = cut(groups.select("group", F.col("weight").cast("double").alias("weight")))
-    lanes = max(1, min(MOST_LANES, -(-groups.count() // LANE)))
+    lanes = max(1, min(MOST_LANES, -(-groups.count() // lane)))
     laid = cut(
         groups.withColumn("lane", F.pmod(F.xxhash64("group"), F.lit(lanes)).cast("int"))
         .repartition(lanes, "lane").sortWithinPartitions("lane", F.desc("weight"), "group")
-        .mapInPandas(_fill_lane(bins), "group string, weight double, lane int, bin int")
+        .mapInPandas(_fill_lanes(bins), "group string, weight double, lane int, bin int")
     )
     totals = {(r["lane"], r["bin"]): r["w"] for r in laid.groupBy("lane", "bin").agg(F.sum("weight").alias("w")).collect()}
     rows = [(lane, k, name) for (lane, k), name in allocate(totals, bins, splits).items()]
@@ -194,31 +200,39 @@ def balance(groups: DataFrame, splits: dict[str, float] = SPLITS, bins: int = BI
     return laid.join(F.broadcast(where), ["lane", "bin"]).select("group", "weight", "split")
 
 
-def chunk_groups(chunks: DataFrame, clean_docs: DataFrame) -> DataFrame:
-    """(chunk_id, doc_key, group): each chunk's component, or its own document where nothing ties it.
+def chunk_keys(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_key): each chunk's clean document; repeated chunks count once.
 
-    A chunk without doc_id takes the document its chunk_id begins with. Repeated chunks count once.
+    A chunk without doc_id takes the document its chunk_id begins with.
     """
     own = F.coalesce(chunk_doc_key(F.col("doc_id")), chunk_doc_key(F.regexp_replace("chunk_id", "-[0-9]+$", "")))
-    keyed = chunks.where("chunk_id is not null").select("chunk_id", own.alias("doc_key")).groupBy("chunk_id").agg(F.min("doc_key").alias("doc_key"))
-    return keyed.join(_groups_by_key(clean_docs), "doc_key", "left").select("chunk_id", "doc_key", F.coalesce("group", "doc_key").alias("group"))
+    return chunks.where("chunk_id is not null").select("chunk_id", own.alias("doc_key")).groupBy("chunk_id").agg(F.min("doc_key").alias("doc_key"))
 
 
-def _groups_by_key(clean_docs: DataFrame) -> DataFrame:
-    return related_docs(clean_docs).groupBy(doc_key(F.col("id")).alias("doc_key")).agg(F.min("group").alias("group"))
+def given(chunks: DataFrame, clean_docs: DataFrame, splits: dict[str, float] = SPLITS) -> DataFrame:
+    """(doc_key, n, tied, group, split): every clean document that chunks speak of, the number of its
+    chunks, whether it is tied to another, its component (or itself), and the split of the whole component."""
+    held = chunk_keys(chunks).groupBy("doc_key").agg(F.count(F.lit(1)).alias("n"))
+    named = chunks.where("doc_id is not null").select(chunk_doc_key(F.col("doc_id")).alias("doc_key")).distinct().withColumn("n", F.lit(0).cast("bigint"))
+    weights = held.unionByName(named).groupBy("doc_key").agg(F.sum("n").alias("n"))
+    groups = related_docs(clean_docs).groupBy(doc_key(F.col("id")).alias("doc_key")).agg(F.min("group").alias("group"))
+    grouped = cut(weights.join(groups, "doc_key", "left").select("doc_key", "n", F.col("group").isNotNull().alias("tied"), F.coalesce("group", "doc_key").alias("group")))
+    bins = balance(grouped.groupBy("group").agg(F.sum("n").alias("weight")), splits)
+    return cut(grouped.join(bins.select("group", "split"), "group"))
 
 
 def split_chunks(chunks: DataFrame, clean_docs: DataFrame, splits: dict[str, float] = SPLITS) -> DataFrame:
     """(chunk_id, group, split): every chunk's split; chunks of related documents share theirs."""
-    grouped = cut(chunk_groups(chunks, clean_docs))
-    given = balance(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("weight")), splits)
-    return grouped.join(given.select("group", "split"), "group").select("chunk_id", "group", "split")
+    docs = given(chunks, clean_docs, splits)
+    return join_on_unique(chunk_keys(chunks), docs, ["doc_key"], "n").select("chunk_id", "group", "split")
 
 
 def found(chunks: DataFrame, clean_docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id): each distinct stored chunk doc_id whose document is tied to another."""
+    """(doc_id, group_id): each distinct stored chunk doc_id whose document is tied to another, of the
+    components that were laid into bins and given to a split."""
     ids = chunks.where("doc_id is not null").select("doc_id").distinct().withColumn("doc_key", chunk_doc_key(F.col("doc_id")))
-    return ids.join(_groups_by_key(clean_docs), "doc_key").select("doc_id", F.col("group").alias("group_id"))
+    tied = given(chunks, clean_docs).where("tied and split is not null").select("doc_key", "group")
+    return ids.join(tied, "doc_key").select("doc_id", F.col("group").alias("group_id"))
 
 
 def tables(spark, folder: str) -> tuple[DataFrame, DataFrame]:
