@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from palimpsest.llm.canon import folded, key128, letters_of, words_of
-from palimpsest.llm.ledger import list_fields
-from palimpsest.operators.lineage import cut
+from palimpsest.llm.ledger import key_classes, list_fields
+from palimpsest.operators.lineage import cut, keep
+from palimpsest.operators.skew import join_on_unique
 from palimpsest.operators.tables import table
 
 #: Counters of the run frequencies that order the runs: 2 MB on every executor at any scale.
@@ -73,43 +74,42 @@ def prefix_table(longest: int, q: int) -> np.ndarray:
     return out
 
 
-def runs_of(words: np.ndarray, q: int) -> np.ndarray:
-    """Hashes of runs of q words; the k-th repeat of a run in a text is a run of its own."""
+def runs_of(words: np.ndarray, ends: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the runs of q words of many texts, whose words lie one after another up to ``ends``;
+    the k-th repeat of a run in a text is a run of its own. Of two near texts both have LONG_FROM words or
+    more (q = 3), or both have SHORT_TO words or less (q = 2); others have no runs."""
+    n = np.diff(ends)
+    wanted = (n >= LONG_FROM) if q == 3 else (n >= SHARE - 1) & (n <= SHORT_TO)
+    number = np.where(wanted, n - q + 1, 0)
+    text = np.repeat(np.arange(len(n)), number)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number) + ends[:-1][text]
     w = words.view(np.uint64)
     with np.errstate(over="ignore"):
-        h = np.full(len(w) - q + 1, q, np.uint64)
+        h = np.full(len(at), q, np.uint64)
         for k in range(q):
-            x = w[k : len(w) - q + 1 + k]
-            h = (h ^ x ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ w[at + k] ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        repeat = np.arange(len(s)) - np.repeat(at, np.diff(np.r_[at, len(s)]))
+        order = np.lexsort((h, text))
+        s, t = h[order], text[order]
+        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])]) if len(s) else np.zeros(0, np.int64)
+        repeat = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
         s = (s + repeat.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
-        return s ^ (s >> np.uint64(32))
+        return t, s ^ (s >> np.uint64(32))
 
 
-def _lengths(n: int) -> tuple[int, ...]:
-    """The run lengths by which a text of n words is looked up: of two near texts, both have
-    LONG_FROM words or more, or both have SHORT_TO words or less."""
-    return (*([2] if SHARE - 1 <= n <= SHORT_TO else []), *([3] if n >= LONG_FROM else []))
-
-
-def _lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     column = batch.column("words")
-    flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    base = offsets[0]
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        yield flat[a - base : b - base]
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, np.int64)
     for batch in batches:
-        for words in _lists(batch):
-            for q in _lengths(len(words)):
-                np.add.at(counts, (runs_of(words, q) % np.uint64(SKETCH)).astype(np.int64), 1)
+        words, ends = _flat(batch)
+        for q in (2, 3):
+            _, h = runs_of(words, ends, q)
+            counts += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
 
@@ -119,24 +119,23 @@ def _prefixes(shared):
         counts = np.frombuffer(shared.value, np.int64)
         tables = {q: prefix_table(64, q) for q in (2, 3)}
         for batch in batches:
-            runs, rows, sizes, musts = [], [], [], []
-            for i, words in enumerate(_lists(batch)):
-                n = len(words)
-                for q in _lengths(n):
-                    if n >= len(tables[q]):
-                        tables[q] = prefix_table(2 * n, q)
-                    first, must = tables[q][n]
-                    h = runs_of(words, q)
-                    order = np.lexsort((h, counts[(h % np.uint64(SKETCH)).astype(np.int64)]))
-                    h = h[order[:first]]
-                    runs.append(h.view(np.int64))
-                    rows.append(np.full(len(h), i))
-                    sizes.append(np.full(len(h), n, np.int32))
-                    musts.append(np.full(len(h), must + 100 * q, np.int32))
-            if runs:
-                at = pa.array(np.concatenate(rows))
+            words, ends = _flat(batch)
+            n = np.diff(ends)
+            for q in (2, 3):
+                if n.max(initial=0) >= len(tables[q]):
+                    tables[q] = prefix_table(2 * int(n.max()), q)
+                t, h = runs_of(words, ends, q)
+                if not len(t):
+                    continue
+                order = np.lexsort((h, counts[(h % np.uint64(SKETCH)).astype(np.int64)], t))
+                t, h = t[order], h[order]
+                start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                rank = np.arange(len(t)) - np.repeat(start, np.diff(np.r_[start, len(t)]))
+                size, must = tables[q][n].T
+                first = rank < size[t]
+                t, h = t[first], h[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(runs)), batch.column("w").take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(musts))],
+                    [pa.array(h.view(np.int64)), batch.column("w").take(pa.array(t)), pa.array(n[t].astype(np.int32)), pa.array((must[t] + 100 * q).astype(np.int32))],
                     ["run", "w", "n", "must"],
                 )
 
@@ -227,21 +226,22 @@ def overlaps(rows: DataFrame) -> DataFrame:
     three are the evaluation record's."""
     fold = rows.withColumn("fold", folded(F.col("text"))).drop("text")
     fields = list_fields(F.col("fold"))
-    words = F.transform(words_of(F.col("fold")), lambda x: F.xxhash64(x))
-    keyed = cut(
-        fold.select(
+    each = fold.withColumn("each", words_of(F.col("fold")))
+    keyed = keep(
+        each.select(
             "id", "tab", "split", "source", "train",
-            key128(letters_of(F.col("fold"))).alias("key"),
+            key128(F.array_join("each", "")).alias("key"),  # all letters and digits
             F.when(fields.isNotNull(), key128(F.array_join(fields, "\u0002"), "list")).alias("alt"),
-            words.alias("words"),
-        ).withColumn("w", key128(F.array_join(F.col("words").cast("array<string>"), " "), "words"))
+            F.transform("each", lambda x: F.xxhash64(x)).alias("words"),
+        ).withColumn("w", key128(F.col("words"), "words"))
     )
-    members = keyed.groupBy("id").agg(F.min(F.struct("tab", "split", "source", "train", "key", "alt", "w")).alias("m")).select("id", "m.*")
-    lists = members.where("alt is not null").groupBy("key").agg(F.min("alt").alias("list"))
-    members = cut(members.join(lists, "key", "left").withColumn("cls", F.coalesce("list", "key")).drop("key", "alt", "list"))
+    once = keyed.groupBy("id").agg(F.min(F.struct("tab", "split", "source", "train", "key", "alt", "w")).alias("m"))
+    members = cut(once.select("id", "m.*"))
+    classes = cut(key_classes(members.select("key", "alt")))
+    members = cut(join_on_unique(members, classes, ["key"], "n").drop("key", "alt", "n"))
     e, t = members.where("not train").select(F.col("id").alias("e_id"), "tab", "split", "source", "cls", F.col("w").alias("e")), members.where("train").select(F.col("id").alias("t_id"), "cls", F.col("w").alias("t"))
     same = e.join(t, "cls").select("e_id", "t_id", F.lit(True).alias("same"), "tab", "split", "source")
-    texts = cut(keyed.where(F.size("words") >= SHARE - 1).groupBy("train", "w").agg(F.any_value("words").alias("words")))
+    texts = keep(keyed.where(F.size("words") >= SHARE - 1).groupBy("train", "w").agg(F.any_value("words").alias("words")))
     near = near_texts(texts)
     e2, t2 = e.withColumnRenamed("cls", "ce"), t.withColumnRenamed("cls", "ct")
     almost = near.join(e2, "e").join(t2, "t").where("ce != ct").select("e_id", "t_id", F.lit(False).alias("same"), "tab", "split", "source")
