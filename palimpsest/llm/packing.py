@@ -1,10 +1,13 @@
 """Filling fixed-capacity containers with items: documents into contexts of a public tokenizer.
 
 Hierarchical residual packing. Documents are counted in tokens; one longer than the capacity is cut
-into full contexts and a rest, all others stay whole. Items meet in bounded groups and are packed
-best-fit, longest first; nearly full bins are done, underfull bins are the items of the next round,
-in fewer groups, until one group is left or a round joins next to nothing. No group grows with the
-data: their number does.
+into full contexts and a rest, all others stay whole. Items meet in groups of bounded size and are
+packed best-fit, longest first; nearly full bins are done. Two bins of at most half the capacity never
+leave a group apart, so each group has one such bin at most. These small bins are what can still be
+joined: they are spread over groups of the underfull bins (each may fit into one), and those left meet
+each other in a tree of groups, GROUP times fewer at each level. The rounds end when one small bin is
+left at most, so whatever the size, at most one context is half empty, and a bin that is done has no
+room for any small bin of its last group.
 
 Cases: NULL, empty and token-less texts need no room and have no rows; a NULL doc_id is left out;
 repeated rows of a doc_id count once, with the smallest size; ties are broken by id.
@@ -27,7 +30,7 @@ CAPACITY = 2048
 #: Where the public tokenizers' files are, and the vocabulary that sizes are counted in.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Items that one task packs, and the share of a bin's room that must be used to be done with it.
-GROUP, NEARLY_FULL = 20_000, 0.995
+GROUP, NEARLY_FULL = 500, 0.995
 
 _encoders: dict[str, object] = {}
 
@@ -104,11 +107,20 @@ def _pack_group(capacity: int, turn: int):
 
 
 def _round(items: DataFrame, count: int, capacity: int, turn: int, group: int) -> DataFrame:
+    """(item, size, bin) of items (item, size), packed in groups of about ``group``."""
     groups = max(1, -(-count // group))
     keyed = items.withColumn("g", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(groups)).cast("int"))
     return cut(keyed.groupBy("g").applyInPandas(_pack_group(capacity, turn), "item string, size int, bin string"))
 
 
+def _merged(bins: DataFrame, moved: DataFrame) -> DataFrame:
+    """(bin, to, size) of every first bin, after the bins of a round (item, size, bin) went into others."""
+    sums = moved.groupBy("bin").agg(F.sum("size").cast("int").alias("sum"))
+    where = moved.join(sums, "bin").select(F.col("item").alias("to"), F.col("bin").alias("next"), "sum")
+    joined = bins.join(where, "to", "left")
+    return cut(joined.select("bin", F.coalesce("next", "to").alias("to"), F.coalesce("sum", "size").alias("size")))
+
+
 def pack(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """(doc_id, part, parts, tokens, context): where each part of each document (doc_id, tokens) goes."""
     counted = sizes.where("doc_id is not null and tokens > 0").groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
@@ -119,28 +131,27 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         .select("doc_id", "part", "parts", F.least(F.lit(capacity), F.col("tokens") - F.col("part") * capacity).cast("int").alias("size"))
     )
     name = F.concat_ws(":", "doc_id", "part")
-    where = parts.withColumn("bin", F.when(F.col("size") == capacity, F.concat(F.lit("whole-"), name)))
     items = parts.where(F.col("size") < capacity).select(name.alias("item"), "size")
-    count, turn = items.count(), 0
-    if not count:
-        return where.select("doc_id", "part", "parts", F.col("size").alias("tokens"), F.col("bin").alias("context"))
-    placed = _round(items, count, capacity, turn, group)
-    done = where.join(placed.select("item", F.col("bin").alias("b")), name == F.col("item"), "left").withColumn("bin", F.coalesce("bin", "b")).drop("item", "b")
-    while count > group:
-        bins = placed.groupBy("bin").agg(F.sum("size").cast("int").alias("size"))
-        under = cut(bins.where(F.col("size") < NEARLY_FULL * capacity).select(F.col("bin").alias("item"), "size"))
-        left = under.count()
-        turn += 1
-        placed = _round(under, left, capacity, turn, group) if left else None
-        if placed is None:
+    placed = _round(items, items.count(), capacity, 0, group)
+    bins = cut(placed.groupBy("bin").agg(F.sum("size").cast("int").alias("size")).select("bin", F.col("bin").alias("to"), "size"))
+    turn, half = 0, capacity // 2
+    while True:
+        small, least = bins.where(F.col("size") <= half).agg(F.countDistinct("to"), F.min("size")).first()
+        if small < 2:
             break
-        moved = placed.select(F.col("item").alias("bin"), F.col("bin").alias("to"))
-        done = cut(done.join(moved, "bin", "left").withColumn("bin", F.coalesce("to", "bin")).drop("to"))
-        joined = left - placed.select("bin").distinct().count()
-        if left <= group or joined < 0.01 * left:
-            break
-        count = left
-    return done.select("doc_id", "part", "parts", F.col("size").alias("tokens"), F.col("bin").alias("context"))
+        # spread: the small bins over groups of those that have room for the smallest of them
+        under = cut(bins.where((F.col("size") < NEARLY_FULL * capacity) & (F.col("size") + least <= capacity)).select(F.col("to").alias("item"), "size").distinct())
+        turn += 1
+        bins = _merged(bins, _round(under, under.count(), capacity, turn, group))
+        # tree: those that are left, among themselves
+        rest_ = cut(bins.where(F.col("size") <= half).select(F.col("to").alias("item"), "size").distinct())
+        left = rest_.count()
+        if left > 1:
+            turn += 1
+            bins = _merged(bins, _round(rest_, left, capacity, turn, group))
+    where = placed.join(bins.select("bin", "to"), "bin").select("item", "to")
+    done = parts.withColumn("item", F.when(F.col("size") < capacity, name)).join(where, "item", "left")
+    return done.select("doc_id", "part", "parts", F.col("size").alias("tokens"), F.coalesce("to", F.concat(F.lit("whole-"), name)).alias("context"))
 
 
 def contexts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
@@ -154,9 +165,15 @@ def found(packed: DataFrame) -> DataFrame:
 
 
 def pack_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(contexts, tokens, fewest, fill): contexts used, and the fewest that any packing could use."""
+    """(contexts, tokens, fewest, fill, largest, half_empty, cut_short): contexts used and the fewest that
+    any packing could use; the fullest; contexts of at most half the capacity (1 at most); documents
+    within the capacity that were cut (none)."""
     used = packed.groupBy("context").agg(F.sum("tokens").alias("t"))
-    return used.agg(
+    docs = packed.groupBy("doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    cuts = docs.agg(F.coalesce(F.sum(((F.col("t") <= capacity) & (F.col("n") > 1)).cast("bigint")), F.lit(0)).alias("cut_short"))
+    totals = used.agg(
         F.count(F.lit(1)).alias("contexts"), F.sum("t").alias("tokens"), F.ceil(F.sum("t") / capacity).alias("fewest"),
         F.round(F.sum("t") / (F.count(F.lit(1)) * capacity), 4).alias("fill"), F.max("t").alias("largest"),
+        F.coalesce(F.sum((F.col("t") <= capacity // 2).cast("bigint")), F.lit(0)).alias("half_empty"),
     )
+    return totals.join(cuts)  # one row each
