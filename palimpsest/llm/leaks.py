@@ -1,9 +1,11 @@
 """Evaluation texts leaking into training text.
 
-The runs of LEAK words of all held-out items, hashed twice, make the set that every executor holds:
-sorted first hashes while there are at most EXACT of them, beyond that a bitmap of fixed size. Each
-document's word windows are scanned against it with a rolling hash; what passes is verified by
-joining both hashes with the items' runs. Words are runs of letters and digits in problem-1 form and
+The runs of LEAK words of all held-out items, hashed twice, make the set that every executor holds: a
+hash filter sized from their number, 64 bits a run, so that less than 0.1 % of other windows pass (two
+probes, each of at most one bit in 32). Of more than BLOCK runs there is a filter for each block, and
+the words of the documents, kept in the shared folder, are scanned against one after another, so
+what an executor holds is 64 MB at most. Each document's word windows are scanned
+with a rolling hash; what passes is verified by joining both hashes with the items' runs. Words are runs of letters and digits in problem-1 form and
 lower case, whatever stands between them.
 
 Cases: NULL or empty texts, and texts or items of fewer than LEAK words, hold nothing; NULL keys are
@@ -23,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canon import NEEDS_FORM, folded, transducer, words_of
-from palimpsest.operators.lineage import cut
+from palimpsest.operators.lineage import cut, keep
 
 #: Consecutive words that make a leak.
 LEAK = 14
-#: First hashes that are broadcast as they are (16 MB); beyond that, a bitmap of BITS bits (16 MB).
-EXACT, BITS = 2_000_000, 1 << 27
+#: Runs that one filter holds (at most 64 MB of it), and the bits that it has for each.
+BLOCK, BITS = 4_000_000, 64
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -80,43 +82,45 @@ def item_windows(items: DataFrame, n: int = LEAK) -> DataFrame:
     return cut(_words(items, "item_id").mapInArrow(_windows("item_id", n), kind).withColumnRenamed("place", "at").distinct())
 
 
-def hits(documents: DataFrame, items: DataFrame, n: int = LEAK) -> DataFrame:
+def filter_of(hashes: np.ndarray) -> np.ndarray:
+    """Two bits a hash in a power of two of bits, at least BITS a hash."""
+    size = 1 << max(10, (len(hashes) * BITS - 1).bit_length())
+    bits = np.zeros(size // 8, np.uint8)
+    for b in _probes(hashes, size):
+        np.bitwise_or.at(bits, b >> 3, np.uint8(1) << (b & 7).astype(np.uint8))
+    return bits
+
+
+def _probes(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(27)) * np.uint64(_FACTORS[0]) >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    one, two = _probes(h, len(bits) * 8)
+    first = np.flatnonzero((bits[one >> 3] >> (one & 7).astype(np.uint8)) & 1)
+    two = two[first]
+    out = np.zeros(len(h), bool)
+    out[first[(bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1 > 0]] = True
+    return out
+
+
+def hits(documents: DataFrame, items: DataFrame, n: int = LEAK, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, place, at): word positions in documents and items where n words agree."""
     spark = documents.sparkSession
     runs = item_windows(items, n)
-    few = runs.select("g1").distinct().limit(EXACT + 1).count() <= EXACT
-    if few:
-        first = np.sort(np.array([r["g1"] for r in runs.select("g1").distinct().collect()], np.int64).view(np.uint64))  # at most EXACT
-        shared = spark.sparkContext.broadcast(first.tobytes())
-
-        def keep():
-            known = np.frombuffer(shared.value, np.uint64)
-
-            def passes(g: np.ndarray) -> np.ndarray:
-                if not len(known):
-                    return np.zeros(len(g), bool)
-                at = np.searchsorted(known, g)
-                return known[np.minimum(at, len(known) - 1)] == g
-
-            return passes
-    else:
-        bits = np.zeros(BITS // 8, np.uint8)
-        for r in runs.select(F.pmod("g1", F.lit(BITS)).cast("int").alias("b")).distinct().toLocalIterator():
-            bits[r["b"] >> 3] |= 1 << (r["b"] & 7)
-        shared = spark.sparkContext.broadcast(bits.tobytes())
-
-        def keep():
-            known = np.frombuffer(shared.value, np.uint8)
-
-            def passes(g: np.ndarray) -> np.ndarray:
-                b = (g & np.uint64(BITS - 1)).astype(np.int64)
-                return (known[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0
-
-            return passes
-
-    kind = "doc_id bigint, place int, g1 bigint, g2 bigint"
-    scanned = _words(documents, "doc_id").mapInArrow(_windows("doc_id", n, keep), kind)
-    return scanned.join(runs, ["g1", "g2"]).select("doc_id", "item_id", "place", "at")
+    blocks = max(1, -(-runs.count() // block))
+    words = _words(documents, "doc_id")
+    if blocks > 1:
+        words = keep(words)
+    found_ = None
+    for i in range(blocks):
+        own = runs.where(F.pmod("g1", F.lit(blocks)) == i)
+        first = own.select("g1").distinct().toArrow()["g1"].to_numpy()  # about block of them
+        shared = spark.sparkContext.broadcast(filter_of(first.view(np.uint64)))
+        scanned = words.mapInArrow(_windows("doc_id", n, lambda s=shared: lambda g: _passes(s.value, g)), "doc_id bigint, place int, g1 bigint, g2 bigint")
+        met = scanned.join(own, ["g1", "g2"]).select("doc_id", "item_id", "place", "at")
+        found_ = met if found_ is None else found_.unionByName(met)
+    return found_
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
