@@ -119,40 +119,53 @@ def plain_word(raw: str) -> tuple[str, int, bool]:
     return w, disguised, "*" in w or joined and len(w) > 7 or len(w) > LONG
 
 
-class Reader:
-    """Texts to passages of hashed words; words met once are kept."""
+Token = tuple[int, int, str | None, str]
+#: Of ASCII, what parts words whatever stands beside it.
+_PARTS = bytes(c if chr(c).isalnum() or chr(c) in "*@$!|" else 32 for c in range(128)) + bytes(128)
+
+
+class Memo(dict):
+    """Pieces of text to (hash, disguises, the word itself if it is odd, the word) of the words in them."""
 
-    MEMO = 300_000  # words kept per process; beyond it they are read again
+    MOST = 300_000  # kept per process; beyond it pieces are read again
+
+    def __missing__(self, piece: str | bytes) -> tuple[Token, ...]:
+        out = []
+        for raw in _TOKEN.findall(piece if isinstance(piece, str) else piece.decode()):
+            w, disguised, odd = plain_word(raw)
+            out.append((word_hash(w), disguised, w if odd else None, w))
+        known = tuple(out)
+        if len(self) < self.MOST:
+            self[piece] = known
+        return known
+
+
+class Reader:
+    """Texts to passages of hashed words; what was met once is kept."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int, str | None, str]] = {}
-
-    def word(self, raw: str) -> tuple[int, int, str | None, str]:
-        """(hash, disguises, the word itself if it is odd, the word)."""
-        w, disguised, odd = plain_word(raw)
-        out = (word_hash(w), disguised, w if odd else None, w)
-        if len(self.memo) < self.MEMO:
-            self.memo[raw] = out
-        return out
+        self.memo = Memo()
 
-    def passages(self, text: str | None) -> Iterator[tuple[list, float, float]]:
-        """(words as of word(), share of capitals, marks in a hundred characters) of each passage."""
+    def passages(self, text: str | None) -> Iterator[tuple[list[Token], float, float]]:
+        """(words, share of capitals, marks in a hundred characters) of each passage."""
         if not text or text.isspace():
             return
         shown = transducer().apply(text).replace(_JOINED, "")
         if _MAYBE_APART.search(shown):
             shown = _APART.sub(lambda m: _JOINED + _SEPARATOR.sub("", m.group()), shown)
-        memo, read = self.memo, self.word
+        memo = self.memo
         for p in _ENDS.sub("\\1\n", shown).split("\n"):
             if not p or p.isspace():
                 continue
             if p.isascii():
                 b = p.encode()
                 letters, capitals = len(b) - len(b.translate(None, _LETTERS)), len(b) - len(b.translate(None, _UPPER))
+                pieces = b.translate(_PARTS).split()
             else:
                 letters, capitals = sum(map(str.isalpha, p)), sum(map(str.isupper, p))
+                pieces = _TOKEN.findall(p)
             marks = (p.count("!") + p.count("?") / 2) / len(p) * 100
-            yield [memo.get(t) or read(t) for t in _TOKEN.findall(p)], capitals / letters if letters else 0.0, marks
+            yield [t for p in pieces for t in memo[p]], capitals / letters if letters else 0.0, marks
 
 
 TOKENS = "words array<bigint>, sizes array<int>, capitals array<float>, marks array<float>, disguised array<int>, odd_at array<int>, odd array<string>"

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -42,6 +43,17 @@ def test_table_has_no_conflict():
         canon.compile_table({"a": "b"})
 
 
+def test_transducer_against_normal_forms():
+    rng = random.Random(29)
+    marks = [chr(c) for c in (*range(0x300, 0x330), 0x338, 0x342, 0x345, 0x3099)]
+    bases = [chr(c) for c in (*range(0x41, 0x7B), *range(0xC0, 0x250), *range(0x370, 0x3FF), *range(0x400, 0x460), *range(0x1E00, 0x2000), 0x3046, 0xFF21, 0xFB01, 0x1D400, 0x2CA4, 0xA4D0) if unicodedata.category(chr(c)) != "Cn"]
+    for _ in range(20_000):
+        s = rng.choice(bases) + "".join(rng.choice(marks) for _ in range(rng.randrange(5)))
+        want = unicodedata.normalize("NFC", "".join(T.table.get(ord(c), c) for c in T.strip.sub("", unicodedata.normalize("NFD", s))))
+        assert T.cluster(s) == want, ascii(s)
+    assert T.apply("ᄀ" + chr(0x1161) + "ꓐꓲꓖ ⲟⲥ ꮯꮪ") == "가BIG oc cs"
+
+
 def test_form_column_matches_python(spark):
     rng = random.Random(3)
     pool = "ab ае́​ａéè\n\t\U0001f469‍ﬁ-‑"
@@ -82,8 +94,9 @@ def test_components_against_union_find(spark):
     for x in list(parent):
         groups[find(x)].add(x)
     want = {(x, min(g)) for g in groups.values() if len(g) > 1 for x in g}
-    got = {tuple(r) for r in splits.components(spark.createDataFrame(edges, "u string, v string")).collect()}
-    assert got == want
+    rows = spark.createDataFrame(edges, "u string, v string")
+    for per_task in (1_000_000, 7):  # the second spreads the hubs
+        assert {tuple(r) for r in splits.components(rows, per_task=per_task).collect()} == want
     assert splits.components(spark.createDataFrame([], "u string, v string")).count() == 0
 
 
@@ -99,7 +112,7 @@ def test_found_ties(spark):
         ("a-train-1", "d", "Ann ", None), ("b-train-2", "d", "аnn", "O/1"), ("c-train-3", "e", "ann", " o/1"), ("d-train-4", "e", "anonymous", "n/a"),
         ("e-train-5", "e", "Anonymous", ""), ("f-train-6", None, "ann", None), ("a-train-1", "d", "ann", None), (None, "d", "ann", "o/1"),
     ])
-    chunks = spark.createDataFrame([("A_train_1-v0",), (" c-train-3-V02 ",), ("d-train-4-v1",), (None,), ("b‑train‑2-v0​",), ("a-train-1-v0",), ("zz",)], "doc_id string").withColumn("group", F.lit("clash"))
+    chunks = spark.createDataFrame([("A_train_1-v0",), (" c-train-3-V02 ",), ("d-train-4-v1",), (None,), ("b‑train‑2-v0​",), ("a-train-1-v0",), ("zz",)], "doc_id string").withColumn("group", F.lit("clash")).withColumn("chunk_id", F.when(F.col("doc_id") != "zz", F.concat("doc_id", F.lit("-0"))))
     got = {tuple(r) for r in splits.found(chunks, docs).collect()}
     assert got == {("A_train_1-v0", "a-train-1"), (" c-train-3-V02 ", "a-train-1"), ("b‑train‑2-v0​", "a-train-1"), ("a-train-1-v0", "a-train-1")}
     assert splits.found(chunks, docs.limit(0)).count() == 0
@@ -135,6 +148,10 @@ def test_split_chunks(spark):
     n = {s: sum(r["split"] == s for r in out) for s in splits.SPLITS}
     assert all(abs(n[s] - p * 1800) <= 36 for s, p in splits.SPLITS.items())
     assert splits.balance(spark.createDataFrame([], "group string, weight bigint")).count() == 0
+    lanes = splits.balance(spark.createDataFrame([(f"g{i:04}", 1 + i % 7) for i in range(1000)], "group string, weight bigint"), lane=50).collect()
+    assert len(lanes) == 1000 and len({r["group"] for r in lanes}) == 1000
+    whole = sum(r["weight"] for r in lanes)
+    assert all(abs(sum(r["weight"] for r in lanes if r["split"] == s) - p * whole) <= 0.012 * whole for s, p in splits.SPLITS.items())
     hot = splits.balance(spark.createDataFrame([("hot", 500)] + [(f"g{i}", 1) for i in range(1000)], "group string, weight bigint")).collect()
     assert {r["split"] for r in hot if r["group"] == "hot"} == {"train"}
 
@@ -152,6 +169,12 @@ def test_ledger(spark):
     ]
     df = spark.createDataFrame([(i, c, t, None) for i, c, t in rows], ATTACKS)
     want = {("2", "5"), ("2", "9"), ("3", "4"), ("1", "6"), ("1", "7"), ("1", "8"), ("10", "11"), ("12", "13")}
+    fields = ("ab: c; de: f", "ab: cd; e: f", "e: f; ab: cd", "de: f; ab: c")
+    sets = spark.createDataFrame([(f"{k}{i}", "x", t.replace("ab", f"ab{k}"), None) for k in "pqrs" for i, t in enumerate(fields)], ATTACKS)
+    book = ledger.Ledger(spark)
+    book.load(sets.withColumn("batch", F.substring("id", 2, 1)))
+    assert {tuple(r) for r in book.copies(per_task=2).collect()} == {(f"{k}0", f"{k}{i}") for k in "pqrs" for i in (1, 2, 3)}
+    assert sorted(r["copies"] for r in book.classes().collect()) == [4, 4, 4, 4]
     for cuts in ([df], [df.where("id < '3'"), df.where("id >= '3'"), df], [df.limit(0), df]):
         book = ledger.Ledger(spark, buckets=3)
         for part in cuts:
@@ -241,10 +264,11 @@ def test_overlaps_against_brute_force(spark):
                 w[at : at + rng.randrange(0, 2)] = [rng.choice(vocab)] * rng.randrange(0, 2)
             rows.append((f"{i}-{k}", "attacks", rng.choice(["train", "test", "validation"]), "", " ".join(w)))
     rows += [("e1", "attacks", "test", "", "a: one; b: two"), ("t1", "attacks", "train", "", "B=two; A=one"), ("e2", "attacks", "test", "", "...")]
+    rows += [(f"e7{i}" if i else "t7", "attacks", "test" if i else "train", "", x) for i, x in enumerate(("ab: c; de: f", "ab: cd; e: f", "e: f; ab: cd", "de: f; ab: c"))]
     rows += [("t2", "attacks", "train", "", ""), ("n1", "attacks", "train", "", None), (None, "attacks", "train", "", "x")]
     df = spark.createDataFrame(rows, "id string, tab string, split string, source string, text string").withColumn("train", F.col("split") == "train").where("id is not null and text is not null")
     got = {tuple(r) for r in overlap.found(overlap.overlaps(df.union(df.limit(20)))).collect()}
-    want = {("e1", "t1"), ("e2", "t2")}
+    want = {("e1", "t1"), ("e2", "t2"), ("e71", "t7"), ("e72", "t7"), ("e73", "t7")}
     known = [(i, s == "train", re.findall(r"\w+", t)) for i, _, s, _, t in rows if i and t and not i.startswith(("e", "t"))]
     for i, ti, a in known:
         for j, tj, b in known:
@@ -272,18 +296,23 @@ def test_best_fit():
 def test_pack(spark):
     rng = random.Random(17)
     rows = [(i, rng.randrange(1, 700)) for i in range(500)] + [(1000, 2048), (1001, 5000), (1002, 4096), (1003, 2049), (1004, 0), (1005, None), (None, 7), (1001, 5000)]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, tokens int"), group=60).collect()
-    used, parts = defaultdict(int), defaultdict(list)
-    for r in out:
-        used[r["context"]] += r["tokens"]
-        parts[r["doc_id"]].append(r["tokens"])
-    assert max(used.values()) <= 2048
-    assert {d for d, p in parts.items() if len(p) > 1} == {1001, 1002, 1003}
-    assert all(sum(parts[d]) == t for d, t in rows if d is not None and t)
-    total = sum(used.values())
-    assert len(used) <= 1.03 * total / 2048 + 2
-    assert packing.pack(spark.createDataFrame([], "doc_id bigint, tokens int")).count() == 0
-    assert {r["doc_id"] for r in packing.found(spark.createDataFrame(out)).collect()} == {1001, 1002, 1003}
+    given = spark.createDataFrame(rows, "doc_id bigint, tokens int").withColumn("part", F.lit(1)).withColumn("bin", F.lit("clash"))
+    for group in (20, 60, 10_000):
+        out = packing.pack(given, group=group)
+        used, parts = defaultdict(int), defaultdict(list)
+        for r in (kept := out.collect()):
+            used[r["context"]] += r["tokens"]
+            parts[r["doc_id"]].append(r["tokens"])
+        assert max(used.values()) <= 2048
+        assert {d for d, p in parts.items() if len(p) > 1} == {1001, 1002, 1003}
+        assert all(sum(parts[d]) == t for d, t in rows if d is not None and t)
+        assert sum(t <= 1024 for t in used.values()) <= 1
+        assert len(used) <= 1.03 * sum(used.values()) / 2048 + 2
+    assert packing.pack(given.limit(0)).count() == 0
+    big = packing.pack(spark.createDataFrame([(i, 1200) for i in range(100)] + [(200, 30)], "doc_id bigint, tokens int"), group=10)
+    report = packing.pack_report(big).first().asDict()
+    assert report["contexts"] == 100 and report["half_empty"] == 0 and report["cut_short"] == 0 and report["largest"] <= 2048
+    assert {r["doc_id"] for r in packing.found(spark.createDataFrame(kept)).collect()} == {1001, 1002, 1003}
 
 
 def test_token_counts_agree(spark):
@@ -314,10 +343,20 @@ def test_leaks(spark):
     assert leaks.found(d, items.limit(0)).count() == 0 and leaks.found(d.limit(0), items).count() == 0
 
 
-def test_leaks_with_bitmap(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "EXACT", 0)
+def test_leaks_in_blocks(spark):
     d = spark.createDataFrame([(1, "a b " + ITEM), (2, "nothing here " * 20)], "doc_id bigint, text string")
-    assert {tuple(r) for r in leaks.found(d, spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")).collect()} == {(1, 10)}
+    items = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
+    runs = len(ITEM.split()) - leaks.LEAK + 1
+    for block in (2, 1_000):
+        assert {(r["doc_id"], r["place"] - 2, r["at"]) for r in leaks.hits(d, items, block=block).collect()} == {(1, i, i) for i in range(runs)}
+
+
+def test_leak_filter():
+    rng = np.random.default_rng(3)
+    inside, other = rng.integers(0, 1 << 63, 50_000, np.uint64), rng.integers(0, 1 << 63, 400_000, np.uint64)
+    bits = leaks.filter_of(inside)
+    assert leaks._passes(bits, inside).all() and leaks._passes(bits, other).mean() < 0.002
+    assert not leaks._passes(leaks.filter_of(inside[:0]), other).any()
 
 
 # --- problem 8 ---
