@@ -10,35 +10,40 @@ from palimpsest.functions import fixed
 
 @dataclass(frozen=True)
 class CascadeConfig:
-    rules_decide: float = fixed.RULES_DECIDE
-    tau_lo: float = fixed.TAU_LO
-    tau_hi: float = fixed.TAU_HI
+    """What inspect() is told."""
+
+    decide_at: float = fixed.RULES_DECIDE
+    lo: float = fixed.TAU_LO
+    hi: float = fixed.TAU_HI
     policy: str = "sanitize"
     marker: str = fixed.MARKER
-    min_kept_share: float = fixed.MIN_KEPT_SHARE
+    least: float = fixed.MIN_KEPT_SHARE
+    use_query: bool = True
+
+    def settings(self) -> dict:
+        return dataclasses.asdict(self)
 
 
 @dataclass(frozen=True)
 class DataConfig:
-    chunk_tokens: int = fixed.CHUNK_TOKENS
-    chunk_overlap: int = fixed.CHUNK_OVERLAP
-    window_chars: int = fixed.WINDOW_CHARS
-    window_overlap: int = fixed.WINDOW_OVERLAP
-    label_overlap: int = fixed.LABEL_OVERLAP
-    train_percent: int = 85
+    """What the dataset build is told."""
+
+    calibration_min: int = fixed.CALIBRATION_MIN
     seed: int = 42
 
 
 @dataclass(frozen=True)
-class RetrievalConfig:
-    top_k: int = fixed.TOP_K
+class EvaluationConfig:
+    fpr_low: float = min(fixed.TARGET_FPRS)
+    fpr_high: float = max(fixed.TARGET_FPRS)
+    bootstrap_n: int = fixed.BOOTSTRAP_N
 
 
 @dataclass(frozen=True)
 class Config:
     cascade: CascadeConfig = field(default_factory=CascadeConfig)
     data: DataConfig = field(default_factory=DataConfig)
-    retrieval: RetrievalConfig = field(default_factory=RetrievalConfig)
+    evaluation: EvaluationConfig = field(default_factory=EvaluationConfig)
 
 
 def from_dict(given: dict) -> Config:

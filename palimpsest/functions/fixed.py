@@ -17,6 +17,12 @@ HOMOGLYPHS_TO = (
     "aovptukiceyx"
 )
 
+#: Characters dropped whatever their category; blocks that may be encoded; runs of blanks and of lines.
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u180e"
+BASE64_BLOCK = r"[A-Za-z0-9+/]{%d,}={0,2}" % MIN_ENCODED_BLOCK
+PERCENT_BLOCK = r"(?:%%[0-9A-Fa-f]{2}|[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=-]){%d,}" % MIN_ENCODED_BLOCK
+BLANK_RUN, LINE_RUN = r"[^\S\n]{2,}", r"\n{3,}"
+
 # --- fixed values: rules (name, weight, scope, pattern) -------------------------------------------
 RULES = (
     ("negate_previous", 0.95, "match",
@@ -61,7 +67,16 @@ MIN_KEPT_SHARE, MAX_LINE, MAX_LINE_SHARE, MIN_SEGMENT = 0.2, 400, 0.8, 12
 CHUNK_TOKENS, CHUNK_OVERLAP, LABEL_OVERLAP = 256, 64, 10
 WINDOW_CHARS, WINDOW_OVERLAP, NESTED_MIN = 900, 150, 40
 TOP_K, QUERY_MAX, JUDGE_MAX, Z95 = 4, 400, 4000, 1.959964
+PAIR_SEPARATOR, CONTEXT_SEPARATOR, NO_CONTEXT = " [SEP] ", "\n\n---\n\n", "(no usable context)"
+TARGET_FPRS, BOOTSTRAP_N = (0.001, 0.01), 1_000
+POSITIVE_NAMES = ("INJECTION", "LABEL_1", "1", "UNSAFE", "MALICIOUS", "JAILBREAK")
+
+# --- fixed values: datasets -------------------------------------------------------------------------
+VARIANTS, POSITIVE_SHARE, SYNTHETIC_VARIANTS, HELD_VARIANTS, SYNTHETIC_ATTACKS = 8, 0.5, 4, 2, 4_000
+MAX_DOCS_PER_DOMAIN, LEAST_CHARS, CALIBRATION_MIN, TRAIN_SHARE = 150, 80, 5_000, 0.85
+CANARY_PREFIX, CANARY_ALPHABET, CANARY_LENGTH = "CNRY", "ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 8
+PAYLOAD_CODE, PAYLOAD_NAME = 0.4, 0.8
+POSITIONS = ("start", "middle", "end")
 # --- end of fixed values --------------------------------------------------------------------------
 
 MARKER = "[removed: suspected instruction]"
-POSITIONS = ("start", "middle", "end")

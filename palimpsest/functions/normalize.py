@@ -44,11 +44,10 @@ def needs_slow_path(text: Column) -> Column:
     return text.rlike(SLOW)
 
 
-_DROP = re.compile("[​‌‍⁠﻿᠎]")
+_DROP = re.compile(f"[{fixed.ZERO_WIDTH}]")
 _TABLE = str.maketrans(fixed.HOMOGLYPHS_FROM, fixed.HOMOGLYPHS_TO)
-_B64 = re.compile(r"[A-Za-z0-9+/]{%d,}={0,2}" % fixed.MIN_ENCODED_BLOCK)
-_URL = re.compile(r"(?:%%[0-9A-Fa-f]{2}|[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=-]){%d,}" % fixed.MIN_ENCODED_BLOCK)
-_BLANKS, _LINES = re.compile(r"[^\S\n]{2,}"), re.compile(r"\n{3,}")
+_B64, _URL = re.compile(fixed.BASE64_BLOCK), re.compile(fixed.PERCENT_BLOCK)
+_BLANKS, _LINES = re.compile(fixed.BLANK_RUN), re.compile(fixed.LINE_RUN)
 
 
 def _readable(text: str) -> bool:
@@ -66,10 +65,10 @@ def _from_percent(block: str) -> str | None:
 
 
 def _from_base64(block: str) -> str | None:
-    body = block.rstrip("=")
+    """The text of a block padded as it stands; one with too many padding signs is none."""
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True).decode("utf-8")
-    except (binascii.Error, UnicodeDecodeError):
+        return base64.b64decode(block + "=" * (-len(block) % 4), validate=True).decode("utf-8")
+    except (binascii.Error, ValueError):
         return None
 
 

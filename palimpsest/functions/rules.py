@@ -25,9 +25,24 @@ def fired(text: Column) -> Column:
     return F.concat_ws(",", *[F.when(fires(text, n), F.lit(n)) for n in NAMES])
 
 
+def found(text: Column, name: str) -> Column:
+    """All non-overlapping matches, NULL where the rule doesn't fire: the pattern is looked for first and
+    extracted only where it fires. Kept as a column, it serves score, names and spans."""
+    return F.when(fires(text, name), F.regexp_extract_all(text, F.lit(JAVA[name]), F.lit(0)))
+
+
+def score_of(hits: dict[str, Column]) -> Column:
+    """rule_score() of found() columns."""
+    return F.greatest(F.lit(0.0), *[F.when(hits[n].isNotNull(), F.lit(w)).otherwise(0.0) for n, w, _, _ in fixed.RULES])
+
+
+def fired_of(hits: dict[str, Column]) -> Column:
+    return F.concat_ws(",", *[F.when(hits[n].isNotNull(), F.lit(n)) for n in NAMES])
+
+
 def matches(text: Column, name: str) -> Column:
-    """All non-overlapping matches; the pattern is extracted only where it fires."""
-    return F.when(fires(text, name), F.regexp_extract_all(text, F.lit(JAVA[name]), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """All non-overlapping matches, none where the rule doesn't fire."""
+    return F.coalesce(found(text, name), F.array().cast("array<string>"))
 
 
 def line_end(text: Column, at: Column) -> Column:
@@ -38,22 +53,22 @@ def line_end(text: Column, at: Column) -> Column:
 
 
 def _block_end(text: Column, start: Column, end: Column) -> Column:
-    """A marker's block: its line, and the next one if the marker opens a short line of its own."""
+    """A marker's block: its line, and the next one if the marker opens a short line of its own and no
+    blank line follows."""
     stop = line_end(text, end)
     before = F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)
     line = F.length(before) + stop - start
-    follows = line_end(text, stop + 1)
-    own = (F.trim(F.translate(before, "\t", " ")) == "") & (line <= fixed.BLOCK_NEXT_LINE_MAX) & (stop < F.length(text)) & (follows > stop + 1)
-    return F.when(own, follows).otherwise(stop)
+    own = ~before.rlike("(?U)\\S") & (line <= fixed.BLOCK_NEXT_LINE_MAX) & (stop < F.length(text)) & (F.substring(text, stop + 2, F.lit(1)) != "\n")
+    return F.when(own, line_end(text, stop + 1)).otherwise(stop)
 
 
-def spans(text: Column, name: str) -> Column:
-    """array<struct<start,end>> of a rule's matches, in code points, half-open."""
+def spans(text: Column, name: str, hits: Column | None = None) -> Column:
+    """array<struct<start,end>> of a rule's matches, in code points, half-open; ``hits`` are its found()."""
     scope = next(s for n, _, s, _ in fixed.RULES if n == name)
-    found = matches(text, name)
+    hits = found(text, name) if hits is None else hits
     gaps = F.split(text, JAVA[name], -1)  # what lies between matches; one more than matches
     # Java drops an empty leading piece only for empty matches, which no rule has
-    pieces = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
+    pieces = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -62,8 +77,8 @@ def spans(text: Column, name: str) -> Column:
         stop = _block_end(text, start, end) if scope == "block" else end
         return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), stop.cast("int").alias("end")))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pieces, zero, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(hits.isNotNull(), F.aggregate(pieces, zero, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def all_spans(text: Column) -> Column:
-    return F.array_sort(F.flatten(F.array(*[spans(text, n) for n in NAMES])))
+def all_spans(text: Column, hits: dict[str, Column] | None = None) -> Column:
+    return F.array_sort(F.flatten(F.array(*[spans(text, n, hits[n] if hits else None) for n in NAMES])))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from palimpsest.functions import fixed
 
@@ -81,6 +85,40 @@ def sanitize(text: Column, merged: Column, marker: str = fixed.MARKER, least: fl
     return F.when(blocked, F.struct(F.lit("").alias("clean"), F.lit("block").alias("action"))).otherwise(F.struct(redact(text, merged, marker).alias("clean"), F.lit("sanitize").alias("action")))
 
 
+def struck(text: Column, merged: Column) -> Column:
+    """The text as HTML, what the merged spans cover struck through."""
+
+    def escape(x: Column) -> Column:
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            x = F.replace(x, F.lit(sign), F.lit(name))
+        return x
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        kept, gone = F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], escape(kept), F.lit("<del>"), escape(gone), F.lit("</del>")).alias("out"))
+
+    done = F.aggregate(merged, zero, step)
+    return F.concat(done["out"], escape(F.substring(text, done["at"] + 1, F.length(text))))
+
+
+_PIECE = re.compile(r"[^\n.!?]+[\n.!?]*")
+
+
+def _segments_at(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        out.append(None if t is None else [{"start": m.start(), "end": m.end(), "text": m.group()} for m in _PIECE.finditer(t) if m.end() - m.start() >= fixed.MIN_SEGMENT])
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))
+
+
+def segments_at(text: Column) -> Column:
+    """array<struct<start,end,text>> of the segments; NULL for NULL. Offsets are summed in an Arrow batch,
+    since arrays that grow by one in the JVM cost the square of their length."""
+    return arrow_udf(_segments_at, "array<struct<start:int,end:int,text:string>>")(text)
+
+
 def segments(text: Column) -> Column:
     """Sentence-like pieces of at least the smallest length."""
     return F.filter(F.regexp_extract_all(text, F.lit("[^\\n.!?]+[\\n.!?]*"), F.lit(0)), lambda s: F.length(s) >= fixed.MIN_SEGMENT)

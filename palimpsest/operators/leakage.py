@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.normalize import fast_form
+from palimpsest.functions.normalize import canonicalize
+from palimpsest.operators import filters
+from palimpsest.operators.lineage import cut, keep
 
-#: Bits of the filter that is broadcast for nested texts (4 MB, whatever the number of needles).
-FILTER_BITS = 1 << 25
+#: Counters of the windows by which a needle's rarest one is found.
+SKETCH = 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def reduce(text: Column) -> Column:
-    """Lower-case Latin letters and digits of the cleaned text."""
-    return F.regexp_replace(F.lower(fast_form(text)), "[^a-z0-9]+", "")
+    """Lower-case Latin letters and digits of the canonical text, encoded blocks decoded."""
+    return F.regexp_replace(F.lower(canonicalize(text)["text"]), "[^a-z0-9]+", "")
 
 
 def fingerprint(text: Column) -> Column:
@@ -38,7 +40,7 @@ def equal_leaks(held: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def _rolling(raw: bytes, n: int) -> np.ndarray:
-    """Hashes of every n bytes, modulo 2^64, by prefix sums of powers."""
+    """Hashes of every n bytes, modulo 2^64."""
     b = np.frombuffer(raw, np.uint8).astype(np.uint64)
     with np.errstate(over="ignore"):
         out = np.zeros(max(0, len(b) - n + 1), np.uint64)
@@ -47,44 +49,86 @@ def _rolling(raw: bytes, n: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def nested_leaks(held: DataFrame, key: str, train: DataFrame, train_key: str, least: int = fixed.NESTED_MIN) -> DataFrame:
-    """(key, train_key): reduced held texts of at least ``least`` characters inside reduced train texts.
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(SKETCH)).astype(np.int64)
 
-    No pair is made blindly: the first ``least`` characters of a needle are hashed, every window of a
-    haystack is tested against a fixed-size filter of those, what passes is joined by hash, and only
-    those pairs are compared.
-    """
-    spark = held.sparkSession
-    needles = held.select(F.col(key), reduce(F.col("text")).alias("_needle")).where(F.length("_needle") >= least)
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _needle_rows(needles: DataFrame, least: int) -> DataFrame:
+    """(h, at, size, f1, f2) of distinct needles: the window that is rarest among all needles, where it
+    stands, and the needle's length and hashes. So a beginning that many share joins none of them."""
+    spark = needles.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SKETCH, np.int64)
         for b in batches:
-            h = [int(_rolling(t.encode()[:least], least).view(np.int64)[0]) for t in b.column("_needle").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h, pa.int64())], [key, "_needle", "_h"])
-
-    kinds = dict(held.dtypes)[key], dict(train.dtypes)[train_key]
-    needles = needles.mapInArrow(heads, f"{key} {kinds[0]}, _needle string, _h bigint")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in needles.select(F.pmod("_h", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toLocalIterator():
-        bits[r["b"] >> 3] |= 1 << (r["b"] & 7)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint8)
+            for t in b.column("_needle").to_pylist():
+                n += np.bincount(_cells(np.unique(_rolling(t.encode(), least))), minlength=SKETCH)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
+
+    cells = needles.select("_needle").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    counts = np.zeros(SKETCH, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, places = [], []
+            for t in b.column("_needle").to_pylist():
+                h = _rolling(t.encode(), least)
+                at = int(np.lexsort((h, shared.value[_cells(h)]))[0])
+                hashes.append(int(h.view(np.int64)[at]))
+                places.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), b.column("size"), b.column("f1"), b.column("f2")], ["h", "at", "size", "f1", "f2"])
+
+    return needles.mapInArrow(rarest, "h bigint, at int, size int, f1 bigint, f2 bigint")
+
+
+def _window_rows(shared, least: int, key: str):
+    """(key, place, h) of the windows of haystacks that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, hashes = [], []
+            rows, places, hashes = [], [], []
             for i, t in enumerate(b.column("_hay").to_pylist()):
-                h = np.unique(_rolling(t.encode(), least))
-                at = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                h = h[(known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
-                rows += [i] * len(h)
-                hashes += h.view(np.int64).tolist()
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(hashes, pa.int64())], [train_key, "_hay", "_h"])
-
-    hay = train.where("text is not null").select(F.col(train_key), reduce(F.col("text")).alias("_hay")).where(F.length("_hay") >= least)
-    hits = hay.mapInArrow(windows, f"{train_key} {kinds[1]}, _hay string, _h bigint")
-    return hits.join(needles, "_h").where(F.col("_hay").contains(F.col("_needle"))).select(key, train_key).distinct()
+                h = _rolling(t.encode(), least)
+                at = np.flatnonzero(filters.passes(shared.value, h))
+                rows.append(np.full(len(at), i))
+                places.append(at)
+                hashes.append(h[at])
+            if rows:
+                at = pa.array(np.concatenate(rows).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], [key, "place", "h"])
+
+    return run
+
+
+def nested_leaks(held: DataFrame, key: str, train: DataFrame, train_key: str, least: int = fixed.NESTED_MIN, block: int = filters.BLOCK) -> DataFrame:
+    """(key, train_key): reduced held texts of at least ``least`` characters inside reduced train texts.
+
+    No pair is made blindly. One window of each distinct needle, its rarest, is kept in a filter that
+    executors hold, sized from the needles and in blocks of bounded size; windows of haystacks that pass
+    are joined by hash, with places and without texts; then each haystack with a hit meets its text once,
+    and hashes of the whole needle decide (128 bits).
+    """
+    spark = held.sparkSession
+    f = F.struct(F.xxhash64("_needle").alias("f1"), F.xxhash64(F.lit("needle"), F.col("_needle")).alias("f2"))
+    owners = keep(held.where(F.col("text").isNotNull()).select(F.col(key), reduce(F.col("text")).alias("_needle")).where(F.length("_needle") >= least).withColumn("_f", f).select(key, "_needle", "_f.*"))
+    distinct = owners.groupBy("f1", "f2").agg(F.any_value("_needle").alias("_needle")).withColumn("size", F.length("_needle"))
+    needles = cut(_needle_rows(distinct, least))
+    blocks = max(1, -(-needles.count() // block))
+    hay = keep(train.where(F.col("text").isNotNull()).select(F.col(train_key), reduce(F.col("text")).alias("_hay")).where(F.length("_hay") >= least).distinct())
+    kind = dict(train.dtypes)[train_key]
+    found = None
+    for i in range(blocks):
+        own = needles.where(F.pmod("h", F.lit(blocks)) == i)
+        shared = spark.sparkContext.broadcast(filters.filter_of(own.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)))  # about block of them
+        hits = hay.mapInArrow(_window_rows(shared, least, train_key), f"{train_key} {kind}, place int, h bigint")
+        met = hits.join(own, "h").select(train_key, (F.col("place") - F.col("at")).alias("start"), "size", "f1", "f2").where("start >= 0").distinct()
+        found = met if found is None else found.unionByName(met)
+    inside = F.substring(F.col("_hay"), F.col("start") + 1, F.col("size"))
+    sure = found.join(hay, train_key).where((F.xxhash64(inside) == F.col("f1")) & (F.xxhash64(F.lit("needle"), inside) == F.col("f2")))
+    return sure.select(train_key, "f1", "f2").distinct().join(owners.select(key, "f1", "f2"), ["f1", "f2"]).select(key, train_key).distinct()
 
 
 def assert_disjoint(held: DataFrame, key: str, train: DataFrame, train_key: str) -> None:

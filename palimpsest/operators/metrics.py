@@ -1,4 +1,5 @@
-"""Detector metrics over long tables (keys, label, score), grouped; no window without a partition.
+"""Detector metrics over long tables (keys, label, score), grouped; sums over ranks are made in two steps
+(see ranks), so neither a window nor a task holds a whole group.
 
 Rows with a NULL label or score are left out. Decisions are strict: a score counts if it is over the
 threshold. A metric that needs both classes is NULL where one is missing.
@@ -6,15 +7,17 @@ threshold. A metric that needs both classes is NULL where one is missing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from palimpsest.functions import fixed
+from palimpsest.operators.ranks import cell_of, cut_points, running
 
 
 def wilson(successes: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:
@@ -34,28 +37,38 @@ def _steps(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b on keys, NULL meeting NULL; the keys are a's."""
+    x, y = a.alias("_a"), b.alias("_b")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}"))
+    both = x.join(y, same, how) if keys else x.join(F.broadcast(y), how="left" if how == "left" else "cross")  # without keys b is one row
+    return both.select(*[F.col(f"_a.{c}").alias(c) for c in a.columns], *[F.col(f"_b.{c}").alias(c) for c in b.columns if c not in keys])
+
+
 def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, auc): the share of (positive, negative) pairs in the right order, ties half."""
-    w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = _steps(df, keys).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    auc = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
+    steps = running(_steps(df, keys), keys, "score", ["neg"])
+    auc = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
     return steps.groupBy(*keys).agg((F.sum("pos") + F.sum("neg")).alias("n"), auc.alias("auc"))
 
 
 def threshold_at_fpr(df: DataFrame, keys: list[str], fpr: float) -> DataFrame:
     """(keys, tau): the benign score at index min(floor(n fpr), n - 1) of the descending order."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    benign = _steps(df, keys).where("neg > 0").withColumn("upto", F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    benign = benign.withColumn("n", F.sum("neg").over(Window.partitionBy(*keys)))
+    steps = _steps(df, keys).where("neg > 0")
+    all_ = steps.groupBy(*keys).agg(F.sum("neg").alias("n"))
+    benign = join_keys(running(steps, keys, "score", ["neg"]), all_, keys)
     index = F.least(F.floor(F.col("n") * F.lit(fpr)), F.col("n") - 1)
-    return benign.where(F.col("upto") > index).groupBy(*keys).agg(F.max("score").alias("tau"))
+    return benign.where(F.col("n") - F.col("before_neg") > index).groupBy(*keys).agg(F.max("score").alias("tau"))
 
 
 def rates_at(df: DataFrame, keys: list[str], thresholds: DataFrame) -> DataFrame:
     """(keys, tau, tpr, fpr) of thresholds (keys, tau)."""
-    rows = df.where("label is not null and score is not null").join(thresholds, keys)
-    hit = (F.col("score") > F.col("tau")).cast("int")
-    return rows.groupBy(*keys, "tau").agg(F.avg(F.when(F.col("label") == 1, hit)).alias("tpr"), F.avg(F.when(F.col("label") == 0, hit)).alias("fpr"))
+    rows = join_keys(_steps(df, keys), thresholds.select(*keys, "tau"), keys)
+    over = F.col("score") > F.col("tau")
+    share = lambda c: F.sum(F.when(over, F.col(c)).otherwise(0)) / F.nullif(F.sum(c), F.lit(0))
+    return rows.groupBy(*keys, "tau").agg(share("pos").alias("tpr"), share("neg").alias("fpr"))
 
 
 def tpr_at_fpr(df: DataFrame, keys: list[str], fpr: float) -> DataFrame:
@@ -71,55 +84,121 @@ def f1_at(df: DataFrame, keys: list[str], tau: float) -> DataFrame:
     return a.select(*keys, F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
 
 
-def _resampled(keys: list[str], repeats: int):
-    """(keys, cell, batch, r, pos, neg, u): each batch's resampled counts, and its pairs in the right order."""
+#: Values of metrics over resampled counts: (scores ascending, positives, negatives), the counts one column
+#: a resample, to one value a resample; NaN where a class is missing.
+Metric = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def auc_of(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (pos * (neg.cumsum(axis=0) - neg / 2)).sum(axis=0) / (pos.sum(axis=0) * neg.sum(axis=0))
+
 
-    def run(batches):
-        for i, b in enumerate(batches):
-            for _, g in b.groupby(keys, dropna=False, sort=False):
-                pos, neg, u = np.zeros(repeats), np.zeros(repeats), np.zeros(repeats)
-                for at in range(0, len(g), 500):
-                    part = g.iloc[at : at + 500]
-                    p, n = np.empty((len(part), repeats)), np.empty((len(part), repeats))
-                    for j, (seed, x, y) in enumerate(zip(part["seed"], part["pos"], part["neg"])):
-                        rng = np.random.Generator(np.random.Philox(key=int(seed) % 2**64))
-                        p[j], n[j] = rng.poisson(x, repeats) if x else 0, rng.poisson(y, repeats) if y else 0
-                    u += (p * (neg + n.cumsum(axis=0) - n / 2)).sum(axis=0)
-                    pos += p.sum(axis=0)
-                    neg += n.sum(axis=0)
-                first = {k: [g[k].iloc[0]] * repeats for k in keys}
-                yield pd.DataFrame({**first, "cell": g["cell"].iloc[0], "batch": i, "r": range(repeats), "pos": pos, "neg": neg, "u": u})
+def tpr_of(fpr: float) -> Metric:
+    """Recall over the threshold that leaves ``fpr`` of the negatives over it."""
 
-    return run
+    def value(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+        n = neg.sum(axis=0)
+        index = np.minimum(np.floor(n * fpr), n - 1)
+        down = neg[::-1].cumsum(axis=0)
+        place = len(scores) - 1 - (down > index).argmax(axis=0)  # the score at that index
+        over = np.where(np.arange(len(scores))[:, None] > place, pos, 0).sum(axis=0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(n > 0, over / pos.sum(axis=0), np.nan)
 
+    return value
 
-def bootstrap_auc(df: DataFrame, keys: list[str], id_col: str, repeats: int = 1_000) -> DataFrame:
-    """(keys, low, high): percentile interval of the AUC over Poisson resamples.
 
-    Each row's weight in a repeat is Poisson(1), so a distinct score's weight is Poisson of its count,
-    drawn from the smallest hash of its ids. Ranges of the score are resampled apart, for all repeats at
-    once; what moves are their sums, not rows times repeats.
+def f1_of(tau: float) -> Metric:
+    def value(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+        over = scores > tau
+        tp, fp, fn = pos[over].sum(axis=0), neg[over].sum(axis=0), pos[~over].sum(axis=0)
+        return np.where(tp > 0, 2 * tp / np.maximum(1, 2 * tp + fp + fn), 0.0)
+
+    return value
+
+
+def bootstrap(df: DataFrame, keys: list[str], metrics: dict[str, Metric], repeats: int = fixed.BOOTSTRAP_N, alpha: float = 0.05, cells: int = 2_048, seed: int = 42) -> DataFrame:
+    """(keys, metric, low, high): percentile intervals over ``repeats`` resamples of each group, with
+    replacement and of its own size; values that aren't numbers are left out, NULL if all are.
+
+    What is resampled are counts: of the distinct scores or, where scores are more, of ``cells`` about
+    equal ranges of them, each with its smallest score. So a group is at most ``cells`` rows, whatever its
+    size, and a resample is one multinomial draw.
     """
-    seeds = df.where("label is not null and score is not null").groupBy(*keys, "score").agg(
-        F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg"), F.min(F.xxhash64(*keys, "score", id_col)).alias("seed")
-    )
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = seeds.repartitionByRange(ranges, *keys, "score").sortWithinPartitions(*keys, "score").withColumn("cell", F.spark_partition_id())
-    kind = StructType([seeds.schema[k] for k in keys])
-    for name, of in (("cell", "integer"), ("batch", "integer"), ("r", "integer"), ("pos", "double"), ("neg", "double"), ("u", "double")):
-        kind = kind.add(name, of)
-    w = Window.partitionBy(*keys, "r").orderBy("cell", "batch").rowsBetween(Window.unboundedPreceding, -1)
-    parts = cells.mapInPandas(_resampled(keys, repeats), kind).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    auc = F.sum(F.col("u") + F.col("pos") * F.col("below")) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))
-    each = parts.groupBy(*keys, "r").agg(auc.alias("auc"))
-    return each.groupBy(*keys).agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
-
-
-def detector_table(df: DataFrame, keys: list[str], fprs=(0.01, 0.001), at: float = 0.5) -> DataFrame:
-    """(keys, n, auc, tpr for each target, f1)."""
-    out = roc_auc(df, keys).join(f1_at(df, keys, at), keys, "left")
+    steps = _steps(df, keys)
+    cell = cell_of("score", cut_points(steps, "score", cells))
+    rows = steps.groupBy(*keys, cell.alias("cell")).agg(F.min("score").alias("score"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    names = list(metrics)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("score")
+        counts = np.concatenate([group["pos"].to_numpy(), group["neg"].to_numpy()]).astype(np.float64)
+        rng = np.random.default_rng([seed, *group["pos"].tolist()[:8]])
+        values: dict[str, list] = {m: [] for m in names}
+        for at in range(0, repeats, 100):
+            drawn = rng.multinomial(int(counts.sum()), counts / counts.sum(), min(100, repeats - at)).T
+            pos, neg = drawn[: len(group)], drawn[len(group) :]
+            for m in names:
+                values[m].append(metrics[m](group["score"].to_numpy(), pos, neg))
+        out = []
+        for m in names:
+            v = np.concatenate(values[m])
+            v = v[np.isfinite(v)]
+            out.append((m, *(np.quantile(v, [alpha / 2, 1 - alpha / 2]) if len(v) else (None, None))))
+        made = pd.DataFrame(out, columns=["metric", "low", "high"])
+        for k in keys:
+            made[k] = group[k].iloc[0]
+        return made[[*keys, "metric", "low", "high"]].astype({"low": "float64", "high": "float64"})
+
+    kind = StructType([rows.schema[k] for k in keys]).add("metric", "string").add("low", "double").add("high", "double")
+    return rows.groupBy(*keys).applyInPandas(run, kind)
+
+
+def bootstrap_auc(df: DataFrame, keys: list[str], repeats: int = fixed.BOOTSTRAP_N) -> DataFrame:
+    """(keys, low, high) of the AUC."""
+    return bootstrap(df, keys, {"auc": auc_of}, repeats).drop("metric")
+
+
+def _named(fpr: float) -> str:
+    return f"{fpr:g}".replace(".", "_")
+
+
+def detector_table(df: DataFrame, keys: list[str], fprs=fixed.TARGET_FPRS, at: float = 0.5, calibration: DataFrame | None = None) -> DataFrame:
+    """(keys, n, auc, tpr_at_fpr_<f> for each target, f1): a row for each group, such as a detector.
+
+    With ``calibration`` (keys, label, score; its benign rows count) also, for each target, tau_<f>, the
+    threshold that it sets, and tpr_ext_tau_<f> and fpr_ext_tau_<f>, the rates at that threshold.
+    """
+    out = join_keys(roc_auc(df, keys), f1_at(df, keys, at), keys, "left")
+    for f in fprs:
+        own = tpr_at_fpr(df, keys, f).select(*keys, F.col("tpr").alias(f"tpr_at_fpr_{_named(f)}"))
+        out = join_keys(out, own, keys, "left")
+        if calibration is not None:
+            ext = rates_at(df, keys, threshold_at_fpr(calibration, keys, f))
+            out = join_keys(out, ext.select(*keys, *[F.col(c).alias(f"{n}_{_named(f)}") for c, n in (("tau", "tau"), ("tpr", "tpr_ext_tau"), ("fpr", "fpr_ext_tau"))]), keys, "left")
+    return out
+
+
+def detector_intervals(df: DataFrame, keys: list[str], fprs=fixed.TARGET_FPRS, repeats: int = fixed.BOOTSTRAP_N) -> DataFrame:
+    """(keys, metric, low, high) for the AUC and the recall at each target."""
+    return bootstrap(df, keys, {"auc": auc_of} | {f"tpr_at_fpr_{_named(f)}": tpr_of(f) for f in fprs}, repeats)
+
+
+def calibrated(benign: DataFrame, keys: list[str], fprs=fixed.TARGET_FPRS) -> DataFrame:
+    """(keys, tau_lo, tau_hi): the cascade's thresholds on benign scores, from the largest and the smallest
+    target."""
+    low = threshold_at_fpr(benign, keys, max(fprs)).withColumnRenamed("tau", "tau_lo")
+    return join_keys(low, threshold_at_fpr(benign, keys, min(fprs)).withColumnRenamed("tau", "tau_hi"), keys)
+
+
+def transfer(df: DataFrame, fprs=fixed.TARGET_FPRS) -> DataFrame:
+    """(trained_on, tested_on, n, auc, tpr_at_fpr_<f>) of scores (trained_on, tested_on, label, score); pairs
+    whose test has only one class are left out."""
+    keys = ["trained_on", "tested_on"]
+    out = roc_auc(df, keys).where("auc is not null")
     for f in fprs:
-        out = out.join(tpr_at_fpr(df, keys, f).select(*keys, F.col("tpr").alias(f"tpr_{str(f).replace('.', '_')}")), keys, "left")
+        out = join_keys(out, tpr_at_fpr(df, keys, f).select(*keys, F.col("tpr").alias(f"tpr_at_fpr_{_named(f)}")), keys, "left")
     return out
 
 

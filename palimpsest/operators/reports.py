@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.metrics import wilson
@@ -27,6 +27,12 @@ def describe(df: DataFrame, by: str = "domain") -> DataFrame:
     )
 
 
+def slug(name: Column) -> Column:
+    """A name as part of a file's: lower case, letters and digits of any script, hyphens and dots kept,
+    the rest hyphens."""
+    return F.regexp_replace(F.lower(name), "[^\\p{L}\\p{N}.-]", "-")
+
+
 def pivot_matrix(df: DataFrame, rows: str, columns: str, values: list[str], value: str) -> DataFrame:
     """A matrix with given columns."""
     return df.groupBy(rows).pivot(columns, values).agg(F.first(value))

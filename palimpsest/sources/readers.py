@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
@@ -50,12 +52,58 @@ def read_attacks(spark: SparkSession, path: str, kind: str, split: str) -> DataF
     return rows.select(F.concat_ws("-", F.lit(kind), F.lit(split), "category", "i").alias("attack_id"), "category", "text")
 
 
-def read_documents(df: DataFrame, domain: str, order: str, most: int | None = None, least_chars: int = 80) -> DataFrame:
-    """(doc_id, domain, text, question) of raw (context, question, error): short texts are left out,
-    after the first ``most`` rows by ``order`` are taken."""
-    rows = df if most is None else df.orderBy(order).limit(most)
-    question = F.substring(F.coalesce(F.nullif("question", F.lit("")), F.col("error"), F.lit("")), 1, fixed.QUERY_MAX)
-    return rows.where(F.length(F.trim("context")) >= least_chars).select(F.concat_ws("-", F.lit(domain), F.col(order).cast("string")).alias("doc_id"), F.lit(domain).alias("domain"), F.col("context").alias("text"), question.alias("question"))
+def probe(df: DataFrame, column: str, kind: str = "string") -> Column:
+    """A column if df has it, else NULL."""
+    return F.col(column) if column in df.columns else F.lit(None).cast(kind)
+
+
+def text_of(df: DataFrame, column: str) -> Column:
+    """A column as text, whether it holds a value or a list of lines; NULL where df lacks it."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    return as_text(F.col(column), kinds[column] == "array") if column in kinds else F.lit(None).cast("string")
+
+
+def read_articles(spark: SparkSession, path: str, order: str, question: str, context: str = "document", most: int = 2_000) -> DataFrame:
+    """(id, context, question) of a parquet file: the first ``most`` rows by ``order``, with one question."""
+    rows = spark.read.parquet(path).orderBy(order).limit(most)
+    return rows.select(F.col(order).cast("string").alias("id"), F.col(context).alias("context"), F.lit(question).alias("question"))
+
+
+def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(at, context, question, error) of JSON lines; lists are lines of text, and ``at`` orders the rows as the
+    files and their lines do."""
+    raw = spark.read.json(path)
+    at = F.concat_ws("|", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 16, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    return raw.select(at.alias("at"), *[text_of(raw, c).alias(c) for c in ("context", "question", "error")])
+
+
+def read_documents(sources: dict[str, DataFrame], split: str, order: str, most: int | None = fixed.MAX_DOCS_PER_DOMAIN, least_chars: int = fixed.LEAST_CHARS) -> DataFrame:
+    """(doc_id, domain, text, question) of raw tables by domain, with context and, where they have them,
+    question and error.
+
+    Of each domain the first ``most`` rows by ``order`` are taken, then short texts are left out; doc_id
+    is domain, split and the row's place among the first (or, if all are taken, ``order``). A question that is missing or empty is the error, or a stock one.
+    """
+    parts = []
+    for domain, df in sources.items():
+        rows, place = df, F.col(order).cast("string")
+        if most is not None:  # so this window is over ``most`` rows
+            rows = df.orderBy(order).limit(most)
+            place = (F.row_number().over(Window.orderBy(order)) - 1).cast("string")
+        first = F.coalesce(F.nullif(text_of(df, "question"), F.lit("")), F.nullif(text_of(df, "error"), F.lit("")), F.lit("Answer the question."))
+        parts.append(rows.select(F.concat_ws("-", F.lit(domain), F.lit(split), place).alias("doc_id"), F.lit(domain).alias("domain"), text_of(df, "context").alias("text"), F.substring(first, 1, fixed.QUERY_MAX).alias("question")))
+    return reduce(DataFrame.unionByName, parts).where(F.length(F.regexp_replace("text", "^\\s+|\\s+$", "")) >= least_chars)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON array of df's rows, in one file: a report of bounded size, such as hard cases."""
+    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    rows = df.select(line.alias("x")).agg(F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list("x")), ",\n"), F.lit("\n]")).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path, multiLine=True)
 
 
 def read_csvs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
