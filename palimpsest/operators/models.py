@@ -39,7 +39,7 @@ def _inputs(df: DataFrame) -> DataFrame:
     return df.withColumn("_input", classifier_input(F.coalesce("text", F.lit("")), query))
 
 
-def train_tfidf(train: DataFrame, vocabulary: int = 200_000, c: float = 4.0, iterations: int = 100) -> PipelineModel:
+def train_tfidf(train: DataFrame, vocabulary: int = 200_000, c: float = 4.0, iterations: int = 50) -> PipelineModel:
     """Fitted on rows (text, label[, query]): the most frequent terms of each kind that two texts have, with
     idf = ln((1 + n) / (1 + df)) + 1, each kind of unit length; regularised by 1 / (c n). Raises if the
     losses aren't numbers or never fall."""
@@ -54,7 +54,7 @@ def train_tfidf(train: DataFrame, vocabulary: int = 200_000, c: float = 4.0, ite
     stages.append(VectorAssembler(inputCols=["u_terms", "u_chars"], outputCol="features"))
     features = PipelineModel(stages=stages)
     n = max(1, rows.count())
-    fit = LogisticRegression(labelCol="label", regParam=1 / (c * n), standardization=False, maxIter=iterations).fit(features.transform(own))
+    fit = LogisticRegression(labelCol="label", regParam=1 / (c * n), standardization=False, maxIter=iterations, tol=1e-4).fit(features.transform(own))
     check_losses(fit.summary.objectiveHistory)
     return PipelineModel(stages=[*terms.stages, *stages, fit])
 

@@ -32,7 +32,3 @@ def slug(name: Column) -> Column:
     the rest hyphens."""
     return F.regexp_replace(F.lower(name), "[^\\p{L}\\p{N}.-]", "-")
 
-
-def pivot_matrix(df: DataFrame, rows: str, columns: str, values: list[str], value: str) -> DataFrame:
-    """A matrix with given columns."""
-    return df.groupBy(rows).pivot(columns, values).agg(F.first(value))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.operators import cascade, retrieval
+from palimpsest.operators import cascade, generate, retrieval
 from palimpsest.operators.ranks import row_index
 from palimpsest.operators.tables import table
-from palimpsest.plans import sql
+from palimpsest.plans import datasets, sql
 from palimpsest.plans.inspection import classifier, judge
 from palimpsest.registry import query, quoted, scratch
 from palimpsest.sources import readers
@@ -117,3 +117,21 @@ def json_document_source(spark, folder):
     rows.select(F.split("text", "\n").alias("context"), F.col("doc_id").cast("string").alias("question")).write.json(at)
     back = readers.read_json_documents(spark, at)
     return back.select(F.col("question").alias("id"), F.md5("context").alias("form"))
+
+
+@query(f"SELECT id, length(text) AS n FROM {datasets._reviews_sql()} WHERE length(text) <= {fixed.WINDOW_CHARS}")
+def clean_corpus(spark, folder):
+    """A corpus of reviews and poisoned copies, written as JSON lines and read again: what a retriever is
+    built on are its clean documents, in passages."""
+    clean = generate.reviews(spark, datasets.N_REVIEWS)
+    both = clean.unionByName(generate.poison_some(clean, datasets.N_POISONED), allowMissingColumns=True)
+    meta = F.create_map(F.lit("poisoned"), F.col("poisoned").cast("string"), F.lit("house"), F.col("house"))
+    back = readers.write_corpus(both.select("id", "text", meta.alias("meta")), scratch(spark, "corpus"))
+    return generate.char_windows(readers.clean_only(back), "id").select("id", F.length("text").cast("bigint").alias("n"))
+
+
+@query("SELECT CAST(chunk_id AS VARCHAR) AS id, CAST(label AS DOUBLE) AS x FROM chunks UNION ALL SELECT verdict_id, score FROM verdicts")
+def union_relaxed(spark, folder):
+    """Rows of two tables whose columns differ in type."""
+    a = table(spark, folder, "chunks").select(F.col("chunk_id").alias("id"), F.col("label").alias("x"))
+    return readers.union_relaxed(a, table(spark, folder, "verdicts").select(F.col("verdict_id").alias("id"), F.col("score").alias("x")))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import draws, fixed
-from palimpsest.operators import generate, metrics, models
+from palimpsest.operators import cascade, generate, metrics, models, ranks, reports
+from palimpsest.operators.lineage import cut
 from palimpsest.operators.tables import table
-from palimpsest.plans import sql
+from palimpsest.plans import datasets, inspection, sql
 from palimpsest.plans.inspection import WEIGHTS
 from palimpsest.registry import query, quoted, scratch
 from palimpsest.sources import readers
@@ -158,3 +159,57 @@ def hard_cases_json(spark, folder):
     at = scratch(spark, "json")
     readers.write_json(table(spark, folder, "hard_cases").select("case_id", "kind", "score", "label", "domain"), at)
     return readers.read_json(spark, at, "case_id string, kind string, score double, label int, domain string")
+
+
+#: Attacks of each family in a run.
+STEPS = 150
+
+
+def asr_cases(spark, folder) -> DataFrame:
+    """(key, step, family, vector, place, mark, text): the same plan of documents and positions for every
+    family of vectors, each with the family's own attack put in."""
+    docs = ranks.row_index(datasets.docs(spark, folder, "text is not null"), "doc_id", "k").select("k", "text")
+    n = max(1, docs.count())
+    step = F.col("id").cast("int")
+    rows = spark.range(STEPS).select(step.alias("step"), F.pmod("id", F.lit(n)).alias("k"), F.explode(F.array(*[F.lit(f) for f in generate.CARRIERS])).alias("family"))
+    rows = rows.withColumn("key", F.concat_ws("-", "family", "step")).withColumn("place", F.element_at(F.array(*[F.lit(p) for p in fixed.POSITIONS]), F.col("step") % len(fixed.POSITIONS) + 1))
+    vector = F.coalesce(*[F.when(F.col("family") == f, draws.draw(F.col("key"), "vector", len(ts)) + 1) for f, ts in generate.CARRIERS.items()])
+    rows = rows.withColumn("vector", vector.cast("int")).withColumn("mark", generate.mark_of(F.col("family"), F.col("key")))
+    rows = rows.join(F.broadcast(generate.carriers(spark).drop("cid")), ["family", "vector"]).join(docs, "k")
+    bad = generate.poison(F.col("text"), F.replace("template", F.lit("{m}"), F.col("mark")), F.col("place"), F.col("key"))
+    return rows.select("key", "step", "family", "vector", "place", "mark", bad["text"].alias("text"))
+
+
+def _asr_cases_sql() -> str:
+    flat = "(VALUES " + ", ".join(f"('{f}', {v + 1}, {quoted(t)})" for f, ts in generate.CARRIERS.items() for v, t in enumerate(ts)) + ") AS c(family, vector, template)"
+    docs = "(SELECT text, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS k, count(*) OVER () AS many FROM " + datasets._DOCS.format(where="text IS NOT NULL") + ")"
+    vector = "CASE family " + " ".join(f"WHEN '{f}' THEN {draws.draw_sql('key', 'vector', str(len(ts)))} + 1" for f, ts in generate.CARRIERS.items()) + " END"
+    plan = f"(SELECT step, family, family || '-' || step AS key, ['start', 'middle', 'end'][CAST(step % 3 + 1 AS INT)] AS place FROM range(0, {STEPS}) r(step), (VALUES {', '.join(f'({quoted(f)})' for f in generate.CARRIERS)}) f(family))"
+    marked = f"(SELECT *, {vector} AS vector, CASE WHEN family = 'steer' THEN {sql.pick(generate.DECOYS, 'key', 'decoy')} ELSE {sql.marker('key')} END AS mark FROM {plan})"
+    met = f"(SELECT m.*, text, replace(template, '{{m}}', mark) AS attack FROM {marked} m JOIN {flat} USING (family, vector) JOIN {docs} d ON d.k = step % d.many)"
+    return f"(SELECT key, family, mark, head || attack || tail AS text FROM {sql.poisoned(met, 'key')})"
+
+
+def _asr_run_sql() -> str:
+    w = f"{fixed.Z95}::DOUBLE"
+    bound = lambda op: f"((p + {w} * {w} / (2 * n)) {op} {w} * sqrt(p * (1 - p) / n + {w} * {w} / (4 * n * n))) / (1 + {w} * {w} / n)"
+    cases, parts = _asr_cases_sql(), [f"SELECT 'none' AS configuration, family, 1 AS success, 0 AS detected, 0 AS escalated FROM {_asr_cases_sql()}"]
+    for name, s2, judged in (("s1", None, None), ("s1_s2", sql.lexical(WEIGHTS), None), ("full", sql.lexical(WEIGHTS), inspection._JUDGED)):
+        parts.append(f"""(WITH cases_ AS (SELECT * FROM {cases}), {sql.inspected("SELECT key, text FROM cases_", "key", s2, judged)} SELECT '{name}', family, CAST(contains(lower(clean_text), lower(mark)) AS INT), CAST(action <> 'pass' AS INT), escalated FROM verdicts_ JOIN cases_ USING (key))""")
+    return f"""SELECT configuration, family, CAST(n AS BIGINT) AS n, round(p, 9) AS asr, round(greatest(0, {bound('-')}), 9) AS asr_ci_low, round(least(1, {bound('+')}), 9) AS asr_ci_high, round(d, 9) AS detection_rate, round(x, 9) AS escalation_rate FROM (
+      SELECT configuration, family, count(*)::DOUBLE AS n, avg(success) AS p, avg(detected) AS d, avg(CAST(escalated > 0 AS INT)) AS x FROM ({' UNION ALL '.join(parts)}) GROUP BY configuration, family)"""
+
+
+@query(_asr_run_sql())
+def asr_run(spark, folder):
+    """Attack success by configuration and family against a victim that obeys whatever reaches it: an attack
+    works if its mark is still in the defended text. The document is always in the context."""
+    cases = cut(asr_cases(spark, folder))
+    rows = None
+    for name in cascade.CONFIGURATIONS:
+        own = cascade.defend(cases, name, inspection.classifier(), inspection.judge, **({} if name == "none" else {"canonical": True}))
+        hit = F.lower("clean_text").contains(F.lower("mark")).cast("int")
+        own = own.select(F.lit(name).alias("configuration"), "family", hit.alias("success"), F.lit(1).alias("poisoned_retrieved"), (F.col("action") != "pass").cast("int").alias("detected"), "escalated", F.lit(None).cast("double").alias("defense_ms"))
+        rows = own if rows is None else rows.unionByName(own)
+    out = reports.summarise_asr(rows, ["configuration", "family"])
+    return out.select("configuration", "family", "n", *[F.round(c, 9).alias(c) for c in ("asr", "asr_ci_low", "asr_ci_high", "detection_rate", "escalation_rate")])
