@@ -39,7 +39,7 @@ def equal_leaks(held: DataFrame, train: DataFrame) -> DataFrame:
     return held.withColumn("_f", fingerprint(F.col("text"))).join(known, "_f", "left_semi").drop("_f")
 
 
-def _rolling(raw: bytes, n: int) -> np.ndarray:
+def _rolling(raw: bytes | memoryview, n: int) -> np.ndarray:
     """Hashes of every n bytes, modulo 2^64."""
     b = np.frombuffer(raw, np.uint8).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -62,7 +62,7 @@ def _needle_rows(needles: DataFrame, least: int) -> DataFrame:
         n = np.zeros(SKETCH, np.int64)
         for b in batches:
             for t in b.column("_needle").to_pylist():
-                n += np.bincount(_cells(np.unique(_rolling(t.encode(), least))), minlength=SKETCH)
+                np.add.at(n, _cells(np.unique(_rolling(t.encode(), least))), 1)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
 
@@ -85,20 +85,23 @@ def _needle_rows(needles: DataFrame, least: int) -> DataFrame:
 
 
 def _window_rows(shared, least: int, key: str):
-    """(key, place, h) of the windows of haystacks that pass the filter."""
+    """(key, place, h) of the windows of haystacks that pass the filter; many texts are hashed at once, as
+    they lie one after another, and windows that reach into the next text are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, places, hashes = [], [], []
-            for i, t in enumerate(b.column("_hay").to_pylist()):
-                h = _rolling(t.encode(), least)
-                at = np.flatnonzero(filters.passes(shared.value, h))
-                rows.append(np.full(len(at), i))
-                places.append(at)
-                hashes.append(h[at])
-            if rows:
-                at = pa.array(np.concatenate(rows).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], [key, "place", "h"])
+        for big in batches:
+            for first in range(0, big.num_rows, 2_000):
+                b = big.slice(first, 2_000)
+                column = b.column("_hay").cast(pa.large_string())
+                _, ends, data = column.buffers()
+                ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+                h = _rolling(memoryview(data)[ends[0] : ends[-1]], least)
+                at = np.flatnonzero(filters.passes(shared.value, h)) + ends[0]
+                row = np.searchsorted(ends, at, "right") - 1
+                inside = at + least <= ends[row + 1]
+                at, row = at[inside], row[inside]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((at - ends[row]).astype(np.int32)), pa.array(h[at - ends[0]].view(np.int64))], [key, "place", "h"])
 
     return run
 
@@ -113,11 +116,12 @@ def nested_leaks(held: DataFrame, key: str, train: DataFrame, train_key: str, le
     """
     spark = held.sparkSession
     f = F.struct(F.xxhash64("_needle").alias("f1"), F.xxhash64(F.lit("needle"), F.col("_needle")).alias("f2"))
-    owners = keep(held.where(F.col("text").isNotNull()).select(F.col(key), reduce(F.col("text")).alias("_needle")).where(F.length("_needle") >= least).withColumn("_f", f).select(key, "_needle", "_f.*"))
+    # kept before they are filtered, else the filter would reduce every text a second time
+    owners = keep(held.where(F.col("text").isNotNull()).select(F.col(key), reduce(F.col("text")).alias("_needle"))).where(F.length("_needle") >= least).withColumn("_f", f).select(key, "_needle", "_f.*")
     distinct = owners.groupBy("f1", "f2").agg(F.any_value("_needle").alias("_needle")).withColumn("size", F.length("_needle"))
     needles = cut(_needle_rows(distinct, least))
     blocks = max(1, -(-needles.count() // block))
-    hay = keep(train.where(F.col("text").isNotNull()).select(F.col(train_key), reduce(F.col("text")).alias("_hay")).where(F.length("_hay") >= least).distinct())
+    hay = keep(train.where(F.col("text").isNotNull()).select(F.col(train_key), reduce(F.col("text")).alias("_hay"))).where(F.length("_hay") >= least)
     kind = dict(train.dtypes)[train_key]
     found = None
     for i in range(blocks):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from palimpsest.functions import fixed
+from palimpsest.operators.lineage import cut
 from palimpsest.operators.ranks import cell_of, cut_points, running
 
 
@@ -47,20 +48,35 @@ def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -
     return both.select(*[F.col(f"_a.{c}").alias(c) for c in a.columns], *[F.col(f"_b.{c}").alias(c) for c in b.columns if c not in keys])
 
 
+def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
+    """_steps() with before_neg, the negatives of lower scores, and p and q, the group's positives and
+    negatives. Steps are kept, so that rows are read once."""
+    steps = cut(_steps(df, keys))
+    totals = steps.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    return join_keys(running(steps, keys, "score", ["neg"]), totals, keys)
+
+
+def _auc() -> Column:
+    return F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
+
+
+def _tau(fpr: float) -> Column:
+    index = F.least(F.floor(F.col("q") * F.lit(fpr)), F.col("q") - 1)
+    return F.max(F.when((F.col("neg") > 0) & (F.col("q") - F.col("before_neg") > index), F.col("score")))
+
+
+def _share_over(count: str, tau: Column) -> Column:
+    return F.sum(F.when(F.col("score") > tau, F.col(count)).otherwise(0)) / F.nullif(F.sum(count), F.lit(0))
+
+
 def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, auc): the share of (positive, negative) pairs in the right order, ties half."""
-    steps = running(_steps(df, keys), keys, "score", ["neg"])
-    auc = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
-    return steps.groupBy(*keys).agg((F.sum("pos") + F.sum("neg")).alias("n"), auc.alias("auc"))
+    return _ranked(df, keys).groupBy(*keys).agg((F.sum("pos") + F.sum("neg")).alias("n"), _auc().alias("auc"))
 
 
 def threshold_at_fpr(df: DataFrame, keys: list[str], fpr: float) -> DataFrame:
     """(keys, tau): the benign score at index min(floor(n fpr), n - 1) of the descending order."""
-    steps = _steps(df, keys).where("neg > 0")
-    all_ = steps.groupBy(*keys).agg(F.sum("neg").alias("n"))
-    benign = join_keys(running(steps, keys, "score", ["neg"]), all_, keys)
-    index = F.least(F.floor(F.col("n") * F.lit(fpr)), F.col("n") - 1)
-    return benign.where(F.col("n") - F.col("before_neg") > index).groupBy(*keys).agg(F.max("score").alias("tau"))
+    return _ranked(df.where("label = 0"), keys).groupBy(*keys).agg(_tau(fpr).alias("tau")).where("tau is not null")
 
 
 def rates_at(df: DataFrame, keys: list[str], thresholds: DataFrame) -> DataFrame:
@@ -165,19 +181,24 @@ def _named(fpr: float) -> str:
 
 
 def detector_table(df: DataFrame, keys: list[str], fprs=fixed.TARGET_FPRS, at: float = 0.5, calibration: DataFrame | None = None) -> DataFrame:
-    """(keys, n, auc, tpr_at_fpr_<f> for each target, f1): a row for each group, such as a detector.
+    """(keys, n, auc, f1, tpr_at_fpr_<f> for each target): a row for each group, such as a detector.
 
     With ``calibration`` (keys, label, score; its benign rows count) also, for each target, tau_<f>, the
     threshold that it sets, and tpr_ext_tau_<f> and fpr_ext_tau_<f>, the rates at that threshold.
     """
-    out = join_keys(roc_auc(df, keys), f1_at(df, keys, at), keys, "left")
-    for f in fprs:
-        own = tpr_at_fpr(df, keys, f).select(*keys, F.col("tpr").alias(f"tpr_at_fpr_{_named(f)}"))
-        out = join_keys(out, own, keys, "left")
-        if calibration is not None:
-            ext = rates_at(df, keys, threshold_at_fpr(calibration, keys, f))
-            out = join_keys(out, ext.select(*keys, *[F.col(c).alias(f"{n}_{_named(f)}") for c, n in (("tau", "tau"), ("tpr", "tpr_ext_tau"), ("fpr", "fpr_ext_tau"))]), keys, "left")
-    return out
+    ranked = cut(_ranked(df, keys))
+    over = lambda c: F.sum(F.when(F.col("score") > at, F.col(c)).otherwise(0))
+    f1 = F.when(over("pos") == 0, 0.0).otherwise(2.0 * over("pos") / (over("pos") + over("neg") + F.sum("pos")))
+    one = ranked.groupBy(*keys).agg((F.sum("pos") + F.sum("neg")).alias("n"), _auc().alias("auc"), f1.alias("f1"), *[_tau(f).alias(f"_own{i}") for i, f in enumerate(fprs)])
+    columns = [F.when(F.first("q") > 0, _share_over("pos", F.col(f"_own{i}"))).alias(f"tpr_at_fpr_{_named(f)}") for i, f in enumerate(fprs)]
+    if calibration is not None:
+        ext = _ranked(calibration.where("label = 0"), keys).groupBy(*keys).agg(*[_tau(f).alias(f"_ext{i}") for i, f in enumerate(fprs)])
+        one = join_keys(one, ext, keys, "left")
+        for i, f in enumerate(fprs):
+            known, tau = F.first(f"_ext{i}").isNotNull(), F.col(f"_ext{i}")
+            columns += [F.first(tau).alias(f"tau_{_named(f)}"), F.when(known, _share_over("pos", tau)).alias(f"tpr_ext_tau_{_named(f)}"), F.when(known, _share_over("neg", tau)).alias(f"fpr_ext_tau_{_named(f)}")]
+    rows = join_keys(ranked.select(*keys, "score", "pos", "neg", "q"), one, keys)
+    return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", "auc", "f1")], *columns)
 
 
 def detector_intervals(df: DataFrame, keys: list[str], fprs=fixed.TARGET_FPRS, repeats: int = fixed.BOOTSTRAP_N) -> DataFrame:
@@ -188,18 +209,13 @@ def detector_intervals(df: DataFrame, keys: list[str], fprs=fixed.TARGET_FPRS, r
 def calibrated(benign: DataFrame, keys: list[str], fprs=fixed.TARGET_FPRS) -> DataFrame:
     """(keys, tau_lo, tau_hi): the cascade's thresholds on benign scores, from the largest and the smallest
     target."""
-    low = threshold_at_fpr(benign, keys, max(fprs)).withColumnRenamed("tau", "tau_lo")
-    return join_keys(low, threshold_at_fpr(benign, keys, min(fprs)).withColumnRenamed("tau", "tau_hi"), keys)
+    return _ranked(benign.where("label = 0"), keys).groupBy(*keys).agg(_tau(max(fprs)).alias("tau_lo"), _tau(min(fprs)).alias("tau_hi"))
 
 
 def transfer(df: DataFrame, fprs=fixed.TARGET_FPRS) -> DataFrame:
     """(trained_on, tested_on, n, auc, tpr_at_fpr_<f>) of scores (trained_on, tested_on, label, score); pairs
     whose test has only one class are left out."""
-    keys = ["trained_on", "tested_on"]
-    out = roc_auc(df, keys).where("auc is not null")
-    for f in fprs:
-        out = join_keys(out, tpr_at_fpr(df, keys, f).select(*keys, F.col("tpr").alias(f"tpr_at_fpr_{_named(f)}")), keys, "left")
-    return out
+    return detector_table(df, ["trained_on", "tested_on"], fprs).where("auc is not null").drop("f1")
 
 
 def hard_cases(df: DataFrame, id_col: str, tau: float, each: int = 2) -> DataFrame:
