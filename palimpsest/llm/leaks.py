@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canon import NEEDS_FORM, folded, transducer, words_of
+from palimpsest.operators import filters
 from palimpsest.operators.lineage import cut, keep
 
 #: Consecutive words that make a leak.
 LEAK = 14
-#: Runs that one filter holds (at most 64 MB of it), and the bits that it has for each.
-BLOCK, BITS = 4_000_000, 64
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -82,29 +81,7 @@ def item_windows(items: DataFrame, n: int = LEAK) -> DataFrame:
     return cut(_words(items, "item_id").mapInArrow(_windows("item_id", n), kind).withColumnRenamed("place", "at").distinct())
 
 
-def filter_of(hashes: np.ndarray) -> np.ndarray:
-    """Two bits a hash in a power of two of bits, at least BITS a hash."""
-    size = 1 << max(10, (len(hashes) * BITS - 1).bit_length())
-    bits = np.zeros(size // 8, np.uint8)
-    for b in _probes(hashes, size):
-        np.bitwise_or.at(bits, b >> 3, np.uint8(1) << (b & 7).astype(np.uint8))
-    return bits
-
-
-def _probes(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(27)) * np.uint64(_FACTORS[0]) >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
-
-
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one, two = _probes(h, len(bits) * 8)
-    first = np.flatnonzero((bits[one >> 3] >> (one & 7).astype(np.uint8)) & 1)
-    two = two[first]
-    out = np.zeros(len(h), bool)
-    out[first[(bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1 > 0]] = True
-    return out
-
-
-def hits(documents: DataFrame, items: DataFrame, n: int = LEAK, block: int = BLOCK) -> DataFrame:
+def hits(documents: DataFrame, items: DataFrame, n: int = LEAK, block: int = filters.BLOCK) -> DataFrame:
     """(doc_id, item_id, place, at): word positions in documents and items where n words agree."""
     spark = documents.sparkSession
     runs = item_windows(items, n)
@@ -116,8 +93,8 @@ def hits(documents: DataFrame, items: DataFrame, n: int = LEAK, block: int = BLO
     for i in range(blocks):
         own = runs.where(F.pmod("g1", F.lit(blocks)) == i)
         first = own.select("g1").distinct().toArrow()["g1"].to_numpy()  # about block of them
-        shared = spark.sparkContext.broadcast(filter_of(first.view(np.uint64)))
-        scanned = words.mapInArrow(_windows("doc_id", n, lambda s=shared: lambda g: _passes(s.value, g)), "doc_id bigint, place int, g1 bigint, g2 bigint")
+        shared = spark.sparkContext.broadcast(filters.filter_of(first.view(np.uint64)))
+        scanned = words.mapInArrow(_windows("doc_id", n, lambda s=shared: lambda g: filters.passes(s.value, g)), "doc_id bigint, place int, g1 bigint, g2 bigint")
         met = scanned.join(own, ["g1", "g2"]).select("doc_id", "item_id", "place", "at")
         found_ = met if found_ is None else found_.unionByName(met)
     return found_
