@@ -2,7 +2,7 @@
 
 The runs of LEAK words of all held-out items, hashed twice, make the set that every executor holds: a
 hash filter sized from their number, 64 bits a run, so that less than 0.1 % of other windows pass (two
-probes, each of at most one bit in 32). Of more than BLOCK runs there is a filter for each block, and
+probes, each of at most one bit in 32). Of more than filters.BLOCK runs there is a filter for each block, and
 the words of the documents, kept in the shared folder, are scanned against one after another, so
 what an executor holds is 64 MB at most. Each document's word windows are scanned
 with a rolling hash; what passes is verified by joining both hashes with the items' runs. Words are runs of letters and digits in problem-1 form and
