@@ -9,9 +9,13 @@ a second, exact stage follows on distinct word sequences. d edits break at most
 words, so two near texts share a known number of runs; in any common order of runs several of them
 then lie among the first of each (a prefix filter with a count). Rare runs come first, by a
 fixed-size count of hashed runs, so what is common in the corpus joins only texts that consist of
-little else. Candidates are verified by a bit-parallel edit distance over the whole word sequences.
-Copies meet only at the end, when pairs
-of texts become pairs of records.
+little else. Texts that meet in a run but can't be near go before anything is counted: their lengths, the
+run's place in both, or the parities of their words differ by more than the edits allow. Candidates are
+verified by a bit-parallel edit distance over the whole word sequences. Copies meet only at the end, when
+pairs of texts become pairs of records.
+
+Large tables take several rounds, by the length of the evaluation text; what a step has shuffled or kept is
+removed once the next table is written, so the disk holds one step of one round at a time.
 
 Cases: records without id or text are left out; texts without letters are the same as each other
 and near to none; texts of fewer than four words are near to none, since an edit needs five words on
@@ -22,16 +26,17 @@ once. Labels and categories may be NULL (source '').
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from palimpsest.llm.canon import folded, key128, letters_of, words_of
 from palimpsest.llm.ledger import key_classes, list_fields
-from palimpsest.operators.lineage import cut, keep
+from palimpsest.operators.lineage import cut, discard, keep
 from palimpsest.operators.skew import join_on_unique
 from palimpsest.operators.tables import table
 
@@ -43,6 +48,9 @@ SHARE = 5
 MUST = 4
 #: Texts are looked up by runs of three words, short ones by runs of two.
 LONG_FROM, SHORT_TO = 10, 13
+#: Words of the texts of one round, unless that makes more than MOST_ROUNDS. Texts that share one leading
+#: part of their length (six bits) stay in one round.
+ROUND_WORDS, MOST_ROUNDS = 50_000_000, 8
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,15 +82,17 @@ def prefix_table(longest: int, q: int) -> np.ndarray:
     return out
 
 
-def runs_of(words: np.ndarray, ends: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the runs of q words of many texts, whose words lie one after another up to ``ends``;
-    the k-th repeat of a run in a text is a run of its own. Of two near texts both have LONG_FROM words or
-    more (q = 3), or both have SHORT_TO words or less (q = 2); others have no runs."""
+def runs_of(words: np.ndarray, ends: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, place) of the runs of q words of many texts, whose words lie one after another up to
+    ``ends``; the k-th repeat of a run in a text is a run of its own, and runs that are repeated have the
+    place -1. Of two near texts both have LONG_FROM words or more (q = 3), or both have SHORT_TO words or
+    less (q = 2); others have no runs."""
     n = np.diff(ends)
     wanted = (n >= LONG_FROM) if q == 3 else (n >= SHARE - 1) & (n <= SHORT_TO)
     number = np.where(wanted, n - q + 1, 0)
     text = np.repeat(np.arange(len(n)), number)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number) + ends[:-1][text]
+    place = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+    at = place + ends[:-1][text]
     w = words.view(np.uint64)
     with np.errstate(over="ignore"):
         h = np.full(len(at), q, np.uint64)
@@ -92,9 +102,18 @@ def runs_of(words: np.ndarray, ends: np.ndarray, q: int) -> tuple[np.ndarray, np
         order = np.lexsort((h, text))
         s, t = h[order], text[order]
         first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])]) if len(s) else np.zeros(0, np.int64)
-        repeat = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
+        times = np.diff(np.r_[first, len(s)])
+        repeat = np.arange(len(s)) - np.repeat(first, times)
+        place = np.where(np.repeat(times, times) == 1, place[order], -1)
         s = (s + repeat.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
-        return t, s ^ (s >> np.uint64(32))
+        return t, s ^ (s >> np.uint64(32)), place
+
+
+def parities(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits a text, none of them empty: whether the number of its words of one hash is odd. An edit changes
+    at most two of them."""
+    bits = np.uint64(1) << (words.view(np.uint64) >> np.uint64(58))
+    return np.bitwise_xor.reduceat(bits, ends[:-1]) if len(bits) else np.zeros(0, np.uint64)
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, ends = _flat(batch)
         for q in (2, 3):
-            _, h = runs_of(words, ends, q)
+            _, h, _ = runs_of(words, ends, q)
             counts += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
@@ -121,22 +140,24 @@ def _prefixes(shared):
         for batch in batches:
             words, ends = _flat(batch)
             n = np.diff(ends)
+            parity = parities(words, ends).view(np.int64)
             for q in (2, 3):
                 if n.max(initial=0) >= len(tables[q]):
                     tables[q] = prefix_table(2 * int(n.max()), q)
-                t, h = runs_of(words, ends, q)
+                t, h, place = runs_of(words, ends, q)
                 if not len(t):
                     continue
                 order = np.lexsort((h, counts[(h % np.uint64(SKETCH)).astype(np.int64)], t))
-                t, h = t[order], h[order]
+                t, h, place = t[order], h[order], place[order]
                 start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
                 rank = np.arange(len(t)) - np.repeat(start, np.diff(np.r_[start, len(t)]))
                 size, must = tables[q][n].T
                 first = rank < size[t]
-                t, h = t[first], h[first]
+                t, h, place = t[first], h[first], place[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), batch.column("w").take(pa.array(t)), pa.array(n[t].astype(np.int32)), pa.array((must[t] + 100 * q).astype(np.int32))],
-                    ["run", "w", "n", "must"],
+                    [pa.array(h.view(np.int64)), batch.column("no").take(pa.array(t)), pa.array(parity[t])]
+                    + [pa.array(x.astype(np.int32)) for x in (n[t], place, must[t] + 100 * q)],
+                    ["run", "no", "parity", "n", "place", "must"],
                 )
 
     return run
@@ -196,29 +217,64 @@ def _near(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def rounds(words_by_length: list[tuple[int, int]], words: int = 0, most: int = 0) -> list[tuple[int, int]]:
+    """(from, to) of lengths, ``to`` excluded: every length is in one of them, and each takes lengths that
+    hold about ``words`` words, or more of them so that there are about ``most`` rounds."""
+    limit = max(words or ROUND_WORDS, sum(w for _, w in words_by_length) // (most or MOST_ROUNDS))
+    starts, held = [0], 0
+    for n, w in sorted(words_by_length):
+        if held and held + w > limit:
+            starts.append(n)
+            held = 0
+        held += w
+    return list(zip(starts, [*starts[1:], 2**31 - 1]))
+
+
+def may_be_near() -> Column:
+    """Of runs met (ne, pe, be; nt, pt, bt): False where the texts are too far apart, by their lengths, by the
+    words before and after the run if neither text repeats it, or by the parities of their words."""
+    edits = F.floor(F.greatest("ne", "nt") / SHARE)
+    moved = F.abs(F.col("pe") - F.col("pt")) + F.abs((F.col("ne") - F.col("pe")) - (F.col("nt") - F.col("pt")))
+    return (
+        (F.abs(F.col("ne") - F.col("nt")) <= edits)
+        & ((F.least("pe", "pt") < 0) | (moved <= edits))
+        & (F.bit_count(F.col("be").bitwiseXOR(F.col("bt"))) <= 2 * edits)
+    )
+
+
+def met_texts(evaluation: DataFrame, training: DataFrame, shared) -> DataFrame:
+    """(e, t, must), as often as the texts (no, words) numbered e and t meet and may be near."""
+
+    def prefixes(side: DataFrame, x: str) -> DataFrame:
+        runs = side.select("no", "words").mapInArrow(_prefixes(shared), "run bigint, no bigint, parity bigint, n int, place int, must int")
+        return runs.select("run", F.col("no").alias(x), F.col("parity").alias(f"b{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("must").alias(f"m{x}"))
+
+    return prefixes(evaluation, "e").join(prefixes(training, "t"), "run").where(may_be_near()).select("e", "t", F.least("me", "mt").alias("must"))
+
+
 def near_texts(texts: DataFrame) -> DataFrame:
-    """(e, t): keys of evaluation and training texts (train, w, words) that are near and not equal."""
+    """(e, t): keys of evaluation and training texts (no, n, train, w, words) that are near and not equal."""
     spark = texts.sparkSession
     cells = texts.select("words").mapInArrow(_count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most SKETCH rows
     counts = np.zeros(SKETCH, np.int64)
     for r in cells:
         counts[r["cell"]] = r["n"]
     shared = spark.sparkContext.broadcast(counts.tobytes())
-    w = "w struct<h1:bigint,h2:bigint>"
-
-    def prefixes(side: DataFrame) -> DataFrame:
-        return side.select("w", "words").mapInArrow(_prefixes(shared), f"run bigint, {w}, n int, must int")
-
-    e = prefixes(texts.where("not train")).select("run", F.col("w").alias("e"), F.col("n").alias("ne"), F.col("must").alias("me"))
-    t = prefixes(texts.where("train")).select("run", F.col("w").alias("t"), F.col("n").alias("nt"), F.col("must").alias("mt"))
-    close = F.abs(F.col("ne") - F.col("nt")) <= F.floor(F.greatest("ne", "nt") / SHARE)
-    met = e.join(t, "run").where(close & (F.col("e") != F.col("t")))
-    # `must` holds 100 q + l, so texts met by runs of both lengths are counted for each by itself
-    candidates = met.groupBy("e", "t", F.least("me", "mt").alias("must")).count().where("count >= must % 100").select("e", "t").distinct()
-    left = texts.where("not train").select(F.col("w").alias("e"), F.col("words").alias("we"))
-    right = texts.where("train").select(F.col("w").alias("t"), F.col("words").alias("wt"))
-    both = candidates.join(left, "e").join(right, "t")
-    return both.where(arrow_udf(_near, "boolean")(F.col("we"), F.col("wt"))).select("e", "t")
+    leading = F.expr("n - n % cast(pow(2, greatest(length(bin(n)) - 6, 0)) as int)").alias("from")
+    lengths = texts.groupBy(leading).agg(F.sum(F.col("n").cast("bigint")).alias("words")).collect()  # at most 32 rows for each bit of the longest
+    parts = []
+    for low, high in rounds([(r["from"], r["words"]) for r in lengths]):
+        left = texts.where(f"not train and n >= {low} and n < {high}")
+        right = texts.where(f"train and n >= {low - low // SHARE} and n <= {min(2**31 - 1, (high - 1) * SHARE // (SHARE - 1))}")
+        # `must` holds 100 q + l, so texts met by runs of both lengths are counted for each by itself
+        met = met_texts(left, right, shared).groupBy("e", "t", "must").count().where("count >= must % 100")
+        candidates = keep(met.select("e", "t").distinct(), drop_shuffles=True)
+        left = left.select(F.col("no").alias("e"), F.col("w").alias("e_w"), F.col("words").alias("we"))
+        right = right.select(F.col("no").alias("t"), F.col("w").alias("t_w"), F.col("words").alias("wt"))
+        both = candidates.join(left, "e").join(right, "t").where("e_w != t_w")
+        parts.append(keep(both.where(arrow_udf(_near, "boolean")(F.col("we"), F.col("wt"))).select(F.col("e_w").alias("e"), F.col("t_w").alias("t")), drop_shuffles=True))
+        discard(candidates)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
@@ -236,13 +292,17 @@ def overlaps(rows: DataFrame) -> DataFrame:
         ).withColumn("w", key128(F.col("words"), "words"))
     )
     once = keyed.groupBy("id").agg(F.min(F.struct("tab", "split", "source", "train", "key", "alt", "w")).alias("m"))
-    members = cut(once.select("id", "m.*"))
-    classes = cut(key_classes(members.select("key", "alt")))
-    members = cut(join_on_unique(members, classes, ["key"], "n").drop("key", "alt", "n"))
+    first = keep(once.select("id", "m.*"), drop_shuffles=True)
+    classes = cut(key_classes(first.select("key", "alt")))
+    members = keep(join_on_unique(first, classes, ["key"], "n").drop("key", "alt", "n"), drop_shuffles=True)
+    discard(first)
     e, t = members.where("not train").select(F.col("id").alias("e_id"), "tab", "split", "source", "cls", F.col("w").alias("e")), members.where("train").select(F.col("id").alias("t_id"), "cls", F.col("w").alias("t"))
     same = e.join(t, "cls").select("e_id", "t_id", F.lit(True).alias("same"), "tab", "split", "source")
-    texts = keep(keyed.where(F.size("words") >= SHARE - 1).groupBy("train", "w").agg(F.any_value("words").alias("words")))
+    distinct = keyed.where(F.size("words") >= SHARE - 1).groupBy("train", "w").agg(F.any_value("words").alias("words")).withColumn("n", F.size("words"))
+    texts = keep(distinct.sortWithinPartitions("n").withColumn("no", F.monotonically_increasing_id()), drop_shuffles=True)
+    discard(keyed)
     near = near_texts(texts)
+    discard(texts)
     e2, t2 = e.withColumnRenamed("cls", "ce"), t.withColumnRenamed("cls", "ct")
     almost = near.join(e2, "e").join(t2, "t").where("ce != ct").select("e_id", "t_id", F.lit(False).alias("same"), "tab", "split", "source")
     return same.unionByName(almost)

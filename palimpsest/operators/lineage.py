@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's, or that of ``spark.checkpoint.dir``.
@@ -33,9 +35,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     """``df`` computed once and kept as a table in the shared folder: columns that a reader doesn't need
-    aren't read, and repeated values take little room."""
-    at = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    aren't read, and repeated values take little room. ``drop_shuffles`` removes what was shuffled for it as
+    soon as the table is written, not when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true" if drop_shuffles else before)
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def discard(kept: DataFrame) -> None:
+    """Remove a table that keep() wrote and that nothing reads any more."""
+    spark = kept.sparkSession
+    for file in kept.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("kept-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
