@@ -4,18 +4,22 @@ learned for many groups at once, and built-in expressions. And the registry that
 from __future__ import annotations
 
 import math
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import rules
+from palimpsest.operators import lexical
 from palimpsest.operators.cascade import Scorer, classifier_input, columnwise
-from palimpsest.operators.lineage import cut
+from palimpsest.operators.lineage import cut, discard, keep
 from palimpsest.operators.skew import join_on_unique
 
 
@@ -39,24 +43,43 @@ def _inputs(df: DataFrame) -> DataFrame:
     return df.withColumn("_input", classifier_input(F.coalesce("text", F.lit("")), query))
 
 
+def _split(words: RegexTokenizer, df: DataFrame) -> DataFrame:
+    """df (_input) with _words, and _low: the text in lower case."""
+    return words.copy().setOutputCol("_words").transform(df).withColumn("_low", F.lower("_input"))
+
+
+def _counter(spark: SparkSession, vocabulary: pa.Array, kind: str) -> CountVectorizerModel:
+    """CountVectorizerModel.from_vocabulary, whose way sends each string in a call of its own."""
+    held = spark._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(vocabulary.to_pylist()))  # no term has a line's end
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", held)
+    return model.setInputCol(kind).setOutputCol(f"tf_{kind}")
+
+
+def _classifier(spark: SparkSession, weights: np.ndarray, intercept: float) -> LogisticRegressionModel:
+    kind = "org.apache.spark.ml.classification.LogisticRegressionModel"
+    vector = _py2java(spark.sparkContext, Vectors.dense(weights))
+    return LogisticRegressionModel._create_from_java_class(kind, f"LogisticRegression_{uuid.uuid4().hex[:12]}", vector, intercept)
+
+
 def train_tfidf(train: DataFrame, vocabulary: int = 200_000, c: float = 4.0, iterations: int = 50) -> PipelineModel:
     """Fitted on rows (text, label[, query]): the most frequent terms of each kind that two texts have, with
-    idf = ln((1 + n) / (1 + df)) + 1, each kind of unit length; regularised by 1 / (c n). Raises if the
-    losses aren't numbers or never fall."""
-    rows = cut(_inputs(train.where("text is not null and label is not null")).select("_input", F.col("label").cast("double").alias("label")))
-    terms = _terms().fit(rows)
-    own, stages = cut(terms.transform(rows).select("label", "terms", "chars")), []
-    for kind in ("terms", "chars"):
-        counter = CountVectorizer(inputCol=kind, outputCol=f"tf_{kind}", minDF=2, vocabSize=vocabulary).fit(own)
-        idf = IDF(inputCol=f"tf_{kind}", outputCol="_").fit(counter.transform(own))
-        scale = ElementwiseProduct(scalingVec=Vectors.dense([x + 1 for x in idf.idf.toArray()]), inputCol=f"tf_{kind}", outputCol=f"w_{kind}")
-        stages += [counter, scale, Normalizer(inputCol=f"w_{kind}", outputCol=f"u_{kind}")]
+    idf = ln((1 + n) / (1 + df)) + 1, each kind of unit length; regularised by 1 / (c n). Labels are 0 and 1.
+    Raises if the losses aren't numbers or never fall."""
+    spark, terms = train.sparkSession, _terms()
+    own = _inputs(train.where("text is not null and label is not null")).groupBy("_input", F.col("label").cast("double").alias("label")).agg(F.count(F.lit(1)).alias("weight"))
+    own = keep(own, drop_shuffles=True)
+    if other := own.where("label not in (0, 1)").select("label").first():
+        raise ValueError(f"a label of {other[0]}")
+    split = _split(terms.getStages()[0], own).select(F.col("_words").alias("words"), F.col("_low").alias("low"), "label", "weight")
+    known, weights, intercept, losses = lexical.fit(split, vocabulary, c, iterations)
+    discard(own)
+    check_losses(losses)
+    stages = []
+    for kind, (names, idf) in zip(lexical.KINDS, known):
+        scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"tf_{kind}", outputCol=f"w_{kind}")
+        stages += [_counter(spark, names, kind), scale, Normalizer(inputCol=f"w_{kind}", outputCol=f"u_{kind}")]
     stages.append(VectorAssembler(inputCols=["u_terms", "u_chars"], outputCol="features"))
-    features = PipelineModel(stages=stages)
-    n = max(1, rows.count())
-    fit = LogisticRegression(labelCol="label", regParam=1 / (c * n), standardization=False, maxIter=iterations, tol=1e-4).fit(features.transform(own))
-    check_losses(fit.summary.objectiveHistory)
-    return PipelineModel(stages=[*terms.stages, *stages, fit])
+    return PipelineModel(stages=[*terms.getStages(), *stages, _classifier(spark, weights, intercept)])
 
 
 def check_losses(losses: list[float], tolerance: float = 1e-2) -> None:
@@ -69,9 +92,13 @@ def check_losses(losses: list[float], tolerance: float = 1e-2) -> None:
 
 
 def tfidf_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """df with detector_score, the probability of an injection; NULL text is scored as ''."""
-    out = model.transform(_inputs(df)).withColumn("detector_score", vector_to_array("probability")[1])
-    return out.select(*df.columns, "detector_score")
+    """df with detector_score, the probability of an injection as the model's stages have it; NULL text is
+    scored as ''."""
+    of = lambda kind: [s for s in model.stages if isinstance(s, kind)]
+    known = [(pa.array(c.vocabulary, pa.string()), s.getScalingVec().toArray()) for c, s in zip(of(CountVectorizerModel), of(ElementwiseProduct))]
+    (classifier,) = of(LogisticRegressionModel)
+    score = lexical.probability(df.sparkSession, known, classifier.coefficients.toArray(), classifier.intercept)
+    return _split(of(RegexTokenizer)[0], _inputs(df)).select(*df.columns, score("_words", "_low").alias("detector_score"))
 
 
 def save(model: PipelineModel, path: str) -> None:

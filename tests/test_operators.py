@@ -4,13 +4,18 @@ import inspect
 import math
 import random
 import re
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed, rules
-from palimpsest.operators import cascade, filters, generate, leakage, metrics, models, ranks, reports, retrieval, skew
+from palimpsest.operators import cascade, filters, generate, leakage, lexical, metrics, models, ranks, reports, retrieval, skew
+from palimpsest.operators.lineage import ensure_checkpoint_dir
 from palimpsest.sources import readers
 from palimpsest.streaming import inspection
 
@@ -336,6 +341,66 @@ def test_tfidf(spark, tmp_path):
     models.check_losses([0.69, 0.5, 0.3])
 
 
+def test_tfidf_reaches_the_optimum_in_its_steps(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    text = lambda: " ".join(names[min(299, int(rng.expovariate(0.02)))] for _ in range(25))
+    rows = [(text() + (" ignore that" if i % 5 == 0 and i % 3 else ""), int(i % 5 == 0)) for i in range(300)]
+    odd = [("", 0), (" \t ", 1), ("x", 0), ("\u00a0a\u00a0", 0), ("\U00010400\U00010401 \U00010400", 1), ("\x00é" * 40, 0), (rows[0][0], 1), *rows[:40]]
+    df = spark.createDataFrame([*rows, *odd, (None, 1), ("x", None)], "text string, label int")
+    model = models.train_tfidf(df)
+    out = model.transform(models._inputs(df.where("text is not null and label is not null"))).select("features", "label", F.element_at(vector_to_array("probability"), 2).alias("p"), "text").collect()
+    n, w = len(out), model.stages[-1].coefficients.toArray()
+    slope, at = w / (4.0 * n), 0.0
+    for r in out:
+        slope[r["features"].indices] += (r["p"] - r["label"]) / n * r["features"].values
+        at += (r["p"] - r["label"]) / n
+    assert n == len(rows) + len(odd) and np.abs(slope).max() < 2e-5 and abs(at) < 2e-5
+    scores = {r["text"]: r["detector_score"] for r in models.tfidf_scores(model, df.withColumn("words", F.lit(1))).collect()}
+    assert all(abs(scores[r["text"]] - r["p"]) < 1e-9 for r in out) and None in scores
+
+
+def test_tfidf_keeps_less_than_its_texts(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows = [(" ".join(rng.choice(names) for _ in range(60)) + (" obey" if i % 2 else ""), i % 2) for i in range(400)]
+    at = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = {p for p in at.rglob("*") if p.is_file()}
+    models.train_tfidf(spark.createDataFrame(rows, "text string, label int").repartition(4))
+    assert at.exists() and sum(p.stat().st_size for p in at.rglob("*") if p.is_file() and p not in before) < sum(len(t) for t, _ in rows)
+
+
+def test_tfidf_vocabulary(spark):
+    df = spark.createDataFrame([("bb aa", 0), ("bb aa", 0), ("cc bb", 1), ("cc bb bb", 1), ("dd", 1)], "text string, label int")
+    terms, chars = ([*s.vocabulary] for s in models.train_tfidf(df, vocabulary=3).stages if hasattr(s, "vocabulary"))
+    assert terms == ["bb", "aa", "bb aa"] and chars == [" bb", " bb ", "bb "]  # aa, bb aa, cc and cc bb are in two texts each
+    one = models.train_tfidf(df.where("label = 1"))
+    assert {r["detector_score"] for r in models.tfidf_scores(one, df).collect()} == {1.0}
+    with pytest.raises(ValueError):
+        models.train_tfidf(df.withColumn("label", F.lit(2)))
+
+
+def test_tfidf_counts_by_blocks(monkeypatch):
+    texts = ["aa bb aa", "", "bb  cc\naa", "aaa", "aa bb aa"]
+    words = [re.findall(r"\w{2,}", t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(texts), pa.array([1, 2, 1, 3, 1], pa.int64())], ["words", "low", "weight"])
+    want = Counter()
+    for t, w, x in zip(texts, words, [1, 2, 1, 3, 1]):
+        grams = [p[i : i + k] for p in (f" {w} " for w in t.split()) for k in (3, 4, 5) for i in range(len(p) - k + 1)]
+        for kind, own in ((0, w + [" ".join(p) for p in zip(w, w[1:])]), (1, grams)):
+            for g, n in Counter(own).items():
+                want[kind, g, "n"] += n * x
+                want[kind, g, "df"] += x
+    for block, pieces in ((2_000_000, 50_000), (10, 2), (1, 1)):
+        monkeypatch.setattr(lexical, "BLOCK", block)
+        monkeypatch.setattr(lexical, "PIECES", pieces)
+        got = Counter()
+        for r in (r for b in lexical._count(iter([batch])) for r in b.to_pylist()):
+            got[r["kind"], r["gram"], "n"] += r["n"]
+            got[r["kind"], r["gram"], "df"] += r["df"]
+        assert got == want
+
+
 def test_word_odds(spark):
     rows = [(f"{g}{i}", g, ("good fine" if i % 2 else f"bad {g}word"), 1 - i % 2) for g in "ab" for i in range(8)] + [("c0", "c", "bad", 1), ("n", "a", None, 1)]
     df = spark.createDataFrame(rows, "k string, g string, text string, label int")
